@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from basewright.llm import sharding, warc
+from basewright.llm import quality, sharding, warc
 
 QUERIES = {
     "op2_sharding": sharding.op2_sharding,
     "op8_warc": warc.op8_warc,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
