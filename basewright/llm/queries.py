@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basewright.llm import quality, sharding, warc
+from basewright.llm import html_text, quality, sharding, warc
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_sharding": sharding.op2_sharding,
     "op8_warc": warc.op8_warc,
     "op10_quality_rules": quality.op10_quality_rules,
