@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from basewright.llm import html_text, quality, sharding, warc
+from basewright.llm import decontaminate, html_text, quality, sharding, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_sharding": sharding.op2_sharding,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -27,6 +28,22 @@ best AS (SELECT doc_id, arg_min(shard, cost) FILTER (shard < 24) AS shard, arg_m
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || ':' || text_crc32), doc_id, size) - 1 AS slot
 FROM c JOIN best USING (doc_id)""",
+    "op7_decontamination": r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS t
+  FROM bw, range(1, 100000) r(i) WHERE len(w) > 0 AND i <= greatest(len(w) - 9, 1)),
+sizes AS (SELECT DISTINCT n FROM iw),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS t
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hit AS (SELECT g.doc_id, g.i, g.n, iw.item_id FROM grams g JOIN iw ON g.t = iw.t AND g.n = iw.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op8_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, h,
