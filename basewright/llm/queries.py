@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from basewright.llm import decontaminate, html_text, quality, sharding, warc
+from basewright.llm import decontaminate, html_text, minhash, quality, sharding, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_sharding": sharding.op2_sharding,
+    "op3_minhash": minhash.op3_minhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_warc": warc.op8_warc,
     "op10_quality_rules": quality.op10_quality_rules,
@@ -28,6 +29,16 @@ best AS (SELECT doc_id, arg_min(shard, cost) FILTER (shard < 24) AS shard, arg_m
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard, grown_shard::INT AS grown_shard,
   row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id || ':' || text_crc32), doc_id, size) - 1 AS slot
 FROM c JOIN best USING (doc_id)""",
+    "op3_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.t = b.t AND a.doc_id <> b.doc_id JOIN sz p ON p.doc_id = a.doc_id JOIN sz q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
+FROM documents d LEFT JOIN sz USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)""",
     "op7_decontamination": r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
