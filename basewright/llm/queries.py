@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from basewright.llm import decontaminate, html_text, minhash, quality, sharding, warc
+from basewright.llm import decontaminate, html_text, minhash, quality, rlz, sharding, suffixes, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_sharding": sharding.op2_sharding,
     "op3_minhash": minhash.op3_minhash,
+    "op4_substring_dedup": rlz.op4_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_warc": warc.op8_warc,
+    "op9_suffix_array": suffixes.op9_suffix_array,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
@@ -39,6 +41,18 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sh a JOIN sh b ON a.t = b.t A
 reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, m.c AS component_id, m.c = d.doc_id AS kept
 FROM documents d LEFT JOIN sz USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM reach GROUP BY x) m USING (doc_id)""",
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 35], ' ') AS t FROM (SELECT doc_id, w, unnest(range(0, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY t) AS n FROM g) WHERE n > 1),
+isl AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM
+  (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 35 THEN 0 ELSE 1 END AS fresh FROM bad)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 35 AS b FROM isl GROUP BY doc_id, k),
+part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS removed, max(b) AS last, flatten(list(d.w[before + 1:a] ORDER BY a)) AS pieces FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN removed IS NULL THEN w ELSE list_concat(pieces, w[last + 1:]) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""",
     "op7_decontamination": r"""
 WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
@@ -68,4 +82,17 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < head THEN head END AS refers_to
 FROM d""",
+    "op9_suffix_array": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, (2 * i + 1)::INT, 100) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+bad AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS m FROM g) WHERE m < doc_id),
+isl AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM
+  (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM bad)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM isl GROUP BY doc_id, k),
+part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+    string_agg(substr(h, (2 * before + 1)::INT, (2 * (a - before))::INT), '' ORDER BY a) AS pieces FROM part JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE pieces || substr(h, (2 * last + 1)::INT) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)""",
 }
