@@ -53,8 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
 def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], stars: int = 3) -> DataFrame:
     """id, root over all pairs that share a bucket and are confirmed; ids without a link are absent.
 
-    ``members`` (a stored table): key, v and a struct ``d``. ``close(x, y)`` says by the two structs whether
-    a pair is worth confirming; ``confirm`` keeps the true links of (a, b).
+    ``members`` (a stored table): key, v and a struct ``d``, whose long ``lead`` is least for members likely
+    to have many links. ``close(x, y)`` says by the two structs whether a pair is worth confirming;
+    ``confirm`` keeps the true links of (a, b).
 
     A bucket first links its members to one of them, another one in each of the
     ``stars`` rounds; members already in one component need no test. What is
@@ -66,7 +67,8 @@ def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confir
     labels = spark.createDataFrame([], "id long, root long")
     for turn in range(stars + 1):
         state = members.join(small(labels, ID_ROWS), F.col("v") == F.col("id"), "left").select("key", "v", "d", F.coalesce("root", "v").alias("c")) if turn else members.withColumn("c", F.col("v"))
-        hub = F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("v"), F.col("c").alias("c")))
+        first = F.col("d.lead") if turn == 0 else F.lit(0)
+        hub = F.min(F.struct(first.alias("lead"), F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("v"), F.col("c").alias("c")))
         live = stored(state.groupBy("key").agg(hub.alias("hub"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "hub"), "buckets")
         if not live.limit(1).count():
             break

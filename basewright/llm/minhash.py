@@ -5,8 +5,9 @@ A document's set is its distinct word shingles, as 64-bit digests. Minima of
 misses every band once in four million. Of the minima only the low two bits
 are kept, packed into two bit planes; the share of equal bit pairs, corrected
 for chance, estimates the similarity of a candidate pair, and pairs estimated
-more than six standard errors under the threshold are dropped. The others are
-confirmed on their full sets.
+more than six standard errors under the threshold are dropped, and so are
+pairs whose sizes and shingles of their own (that no other candidate has) rule
+the threshold out. The others are confirmed on their full sets.
 
 Documents with equal sets are one vertex. Buckets link to hubs instead of
 listing all their pairs (see groups.py).
@@ -168,19 +169,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     banded = heads.select(F.col("doc").alias("v"), F.explode("bands").alias("key"))
     shared = stored(banded.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("key"), "shared")
     some = banded.join(small(shared, ID_ROWS), "key")
-    look = heads.select(F.col("doc").alias("v"), F.struct(F.col("n_shingles").alias("n"), F.col("planes").alias("p")).alias("d"))
     some = stored(some.distinct(), "band-members")
     ids = stored(some.select("v").distinct(), "candidates")
-    look = stored(look.join(small(ids, ID_ROWS), "v", "left_semi").dropDuplicates(["v"]), "sketches")
-    members = stored(some.join(small(look), "v"), "members")
     wanted = df.where(F.col(key).isNotNull()).join(small(ids.withColumnRenamed("v", "_v"), ID_ROWS), F.col(key) == F.col("_v"), "left_semi")
     full = stored(full_sets(wanted, key, text, width).dropDuplicates(["doc"]), "sets")
+    # shingles that no other candidate has: they bound the similarity to all of them from above
+    own = full.select("doc", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).where("n = 1")
+    alone = stored(own.groupBy(F.col("doc").alias("v")).agg(F.count("*").alias("u")), "alone")
+    look = heads.select(F.col("doc").alias("v"), F.col("n_shingles").alias("n"), F.col("planes").alias("p")).join(small(ids, ID_ROWS), "v", "left_semi").dropDuplicates(["v"])
+    look = look.join(small(alone, ID_ROWS), "v", "left").select("v", F.struct("n", F.coalesce("u", F.lit(0)).alias("u"), "p", F.round(F.coalesce("u", F.lit(0)) * 1e6 / F.col("n")).cast("long").alias("lead")).alias("d"))
+    look = stored(look.where(100 * (F.col("d.n") - F.col("d.u")) >= percent * F.col("d.n")), "sketches")
+    members = stored(some.join(small(look), "v"), "members")
     share = percent / 100.0
     p = share + (1 - share) * 2.0**-BITS
     least = share - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
 
     def close(x: str, y: str) -> Column:
-        sizes = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * percent
+        most = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
+        sizes = most * 100 >= F.greatest(F.col(f"{x}.n") + F.col(f"{y}.u"), F.col(f"{y}.n") + F.col(f"{x}.u")) * percent
         return sizes & (estimate(F.col(f"{x}.p"), F.col(f"{y}.p")) >= least)
 
     def confirm(pairs: DataFrame) -> DataFrame:
