@@ -55,6 +55,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Ids that a broadcast may hold (16 bytes each and the hash table around them).
+ID_ROWS = 500_000
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body`` as a variable."""
     return F.element_at(F.transform(F.array(value), body), 1)

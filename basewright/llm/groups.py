@@ -11,11 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import small, stored
-
-#: Ids that a broadcast may hold (16 bytes each and the hash table around them).
-ID_ROWS = 500_000
-
+from basewright.llm.common import ID_ROWS, small, stored
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")

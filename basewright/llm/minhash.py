@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import small, stored, table
-from basewright.llm.groups import ID_ROWS, link_buckets
+from basewright.llm.common import ID_ROWS, small, stored, table
+from basewright.llm.groups import link_buckets
 
 BANDS, ROWS, BITS = 26, 5, 2
 HASHES = BANDS * ROWS

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from basewright.llm import decontaminate, html_text, lines, minhash, quality, rlz, sharding, suffixes, warc
+from basewright.llm import decontaminate, html_text, lines, minhash, pieces, quality, rlz, sharding, suffixes, warc
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_sharding": sharding.op2_sharding,
     "op3_minhash": minhash.op3_minhash,
     "op4_substring_dedup": rlz.op4_substring_dedup,
+    "op5_sentencepiece": pieces.op5_sentencepiece,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_warc": warc.op8_warc,
