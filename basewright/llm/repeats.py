@@ -38,8 +38,6 @@ BLOCK_ROWS, BLOCK_SYMBOLS = 4_000, 3_000_000
 #: Index entries that one range holds on average, and their layout.
 RANGE_ENTRIES = 1_000_000
 ENTRY = np.dtype([("anchor", "<u4"), ("digest", "<u8"), ("doc", "<u2"), ("run", "<u2")])
-#: Bytes of per-document findings that may be broadcast; more are joined by a shuffle.
-FINDINGS_BYTES = 64 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -273,18 +271,10 @@ def settle(index: DataFrame, smaller: bool) -> DataFrame:
 
 
 def per_document(found: DataFrame, label: str) -> DataFrame:
-    """doc and the list of its blobs, stored; broadcast by ``with_findings`` if its bytes allow."""
+    """doc and the list of its blobs, stored."""
     return stored(found.groupBy("doc").agg(F.collect_list("runs").alias("runs")), label)
 
 
-def with_findings(df: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """Join (doc, text) with per-document findings."""
-    total = found.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x) + 64)), F.count("*")).first()
-    if (total[0] or 0) + 64 * total[1] <= FINDINGS_BYTES:
-        found = F.broadcast(found)
-    return df.join(found, "doc", how)
-
-
 def joined_spans(blobs: list[bytes] | None) -> np.ndarray:
     """The numbers that the spans of all blobs cover."""
     if not blobs:
@@ -347,15 +337,11 @@ def repeated_windows(df: DataFrame, symbols: Callable, k: int, length: int, smal
     asked = per_document(found.where("kind = 1"), "asked")
     volume = (found.where("kind = 1").agg(F.sum("n")).first()[0] or 0) * factor_bytes
     shards = max(16, volume // shard_bytes)
-    routed = ask_content(with_findings(df, asked, "inner"), symbols, k, length, shards, content)
+    routed = ask_content(df.join(asked, "doc"), symbols, k, length, shards, content)
     single = stored(compared(routed, compare), "single")
     both = found.where("kind = 0").union(single)
     blobs = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("runs")))
     total = stored(both.groupBy("doc").agg(blobs(0).alias("runs"), blobs(2).alias("starts")), "repeats")
-    sized = total.select("doc", F.concat("runs", "starts").alias("runs"))
-    nbytes = sized.agg(F.sum(F.aggregate("runs", F.lit(0), lambda a, x: a + F.octet_length(x) + 64)), F.count("*")).first()
-    if (nbytes[0] or 0) + 64 * nbytes[1] <= FINDINGS_BYTES:
-        total = F.broadcast(total)
     return df.join(total, "doc", "left")
 
 
