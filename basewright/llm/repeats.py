@@ -13,8 +13,10 @@ anchor form a run; the text of a run, a factor, is what the index refers to.
 3. the caller compares the asked factors window by window (``ask_content``
    routes them to shards) and gets flags for single windows.
 
-Digests of 64 bits and more decide equality of factors: 32 and the range's
-bits of the anchor, 64 of the factor.
+Factors are equal if 96 bits and the range are: 32 of the anchor, 40 of the
+factor, and 12 each of what stands left and right of the anchor. A window holds
+the anchor and at least half of the rest on one side, so factors without an
+equal neighbourhood on either side have no window in common and aren't asked for.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,10 +107,21 @@ def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers) -> Runs |
         at[c : c + _CHUNK] = (_least(key, width) & mask).astype(np.int64) + c
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     count = np.diff(np.append(first, windows))
+    half = (length - k + 1) // 2
+    spot, stop = at[first], first + count - 1 + length
+
+    def beside(start: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """12 bits of the ``half`` symbols from ``start`` on; 0 outside the factor."""
+        start = np.where(inside, start, 0)
+        h = mix((sums[start + half] - sums[start]) * down[start])
+        return np.where(inside, h % np.uint64(4095) + np.uint64(1), np.uint64(0))
+
+    left, right = beside(spot - half, spot - half >= first), beside(spot + k, spot + k + half <= stop)
     place = (count.astype(np.uint64) << np.uint64(32)) | (at[first] - first).astype(np.uint64)
     whole = (sums[first + count - 1 + length] - sums[first]) * down[first]
     # minima crowd at the low end; mixed again they fill all ranges
-    return Runs(first, count, mix(grams[at[first]] + np.uint64(1)), mix(whole ^ mix(place + np.uint64(1))), sums, down)
+    digest = mix(whole ^ mix(place + np.uint64(1))) & ~np.uint64(0xFFFFFF) | left << np.uint64(12) | right
+    return Runs(first, count, mix(grams[at[first]] + np.uint64(1)), digest, sums, down)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], symbols: Callable) -> Iterator[list]:
@@ -139,11 +153,11 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-INDEX = "part int, docs binary, bases binary, entries binary"
+INDEX = "part int, settled boolean, docs binary, bases binary, entries binary"
 
 
 def index_runs(df: DataFrame, symbols: Callable[[], Callable], k: int, length: int, ranges: int, smaller: bool) -> DataFrame:
-    """Rows of INDEX: packed runs for the ranges 0 to ``ranges - 1``; part -1 has settled runs.
+    """Rows of INDEX: packed runs for the ranges 0 to ``ranges - 1``; settled ones go to any range.
 
     ``smaller``: a window counts as repeated only if a document with a smaller id has it;
     else any other place counts.
@@ -183,24 +197,24 @@ def index_runs(df: DataFrame, symbols: Callable[[], Callable], k: int, length: i
                 settled = np.repeat(size > 1, size)
                 send = head
                 twice = head & settled
-            yield _packed(-1, ids, base, order[settled], doc_of, run_of, anchors, digests, ranges)
+            yield _packed(int(anchors[0] % np.uint64(ranges)), True, ids, base, order[settled], doc_of, run_of, anchors, digests)
             picked = np.concatenate([order[send], order[twice]])
             part = (anchors[picked] >> np.uint64(32)).astype(np.int64) * ranges >> 32
             by = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[by], np.arange(ranges + 1))
             for p in range(ranges):
                 if edges[p] < edges[p + 1]:
-                    yield _packed(p, ids, base, picked[by[edges[p] : edges[p + 1]]], doc_of, run_of, anchors, digests, ranges)
+                    yield _packed(p, False, ids, base, picked[by[edges[p] : edges[p + 1]]], doc_of, run_of, anchors, digests)
 
     return df.mapInArrow(run, INDEX)
 
 
-def _packed(part, ids, base, at, doc_of, run_of, anchors, digests, ranges) -> pa.RecordBatch:
+def _packed(part, settled, ids, base, at, doc_of, run_of, anchors, digests) -> pa.RecordBatch:
     used, local = np.unique(doc_of[at], return_inverse=True)
     e = np.empty(len(at), ENTRY)
     e["anchor"], e["digest"], e["doc"], e["run"] = anchors[at] & np.uint64(0xFFFFFFFF), digests[at], local, run_of[at]
-    row = [pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[used], base[used], e))]
-    return pa.RecordBatch.from_arrays(row, ["part", "docs", "bases", "entries"])
+    row = [pa.array([part], pa.int32()), pa.array([settled]), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[used], base[used], e))]
+    return pa.RecordBatch.from_arrays(row, ["part", "settled", "docs", "bases", "entries"])
 
 
 def _unpacked(docs: list[bytes], bases: list[bytes], entries: list[bytes]):
@@ -214,37 +228,35 @@ def _unpacked(docs: list[bytes], bases: list[bytes], entries: list[bytes]):
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (doc, run, anchor, digest))
 
 
-def spans_of(numbers: np.ndarray) -> np.ndarray:
-    """Sorted distinct numbers as rows of (first, past the last)."""
-    n = np.unique(numbers)
-    if not len(n):
-        return np.empty((0, 2), np.int32)
-    cut = np.flatnonzero(np.diff(n) > 1) + 1
-    return np.stack([n[np.concatenate([[0], cut])], n[np.concatenate([cut - 1, [len(n) - 1]])] + 1], axis=1).astype(np.int32)
-
-
 FOUND = "doc long, kind int, runs binary, n int"
 
 
 def _found(doc: np.ndarray, run: np.ndarray, kind: int) -> pa.Table:
-    order = np.argsort(doc, kind="stable")
-    ids, start = np.unique(doc[order], return_index=True)
-    run, stop = run[order], [*start[1:], len(order)]
-    blobs = [spans_of(run[a:b]).tobytes() for a, b in zip(start, stop)]
-    n = np.diff([*start, len(order)])
-    return pa.table({"doc": pa.array(ids, pa.int64()), "kind": pa.array([kind] * len(ids), pa.int32()), "runs": pa.array(blobs, pa.binary()), "n": pa.array(n, pa.int32())})
+    """Per document the spans (first, past the last) of its distinct numbers, and how many numbers."""
+    order = np.lexsort((run, doc))
+    d, r = doc[order], run[order].astype(np.int64)
+    once = np.ones(len(d), bool)
+    once[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+    d, r = d[once], r[once]
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1] + 1)
+    start = np.flatnonzero(new)
+    spans = np.stack([r[start], r[np.append(start[1:], len(r))[: len(start)] - 1] + 1], axis=1).astype(np.int32)
+    ids, at = np.unique(d[start], return_index=True)
+    _, n = np.unique(d, return_counts=True)
+    offsets = (np.append(at, len(start)) * 8).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spans.tobytes())])
+    return pa.table({"doc": pa.array(ids, pa.int64()), "kind": pa.array(np.full(len(ids), kind, np.int32)), "runs": blobs, "n": pa.array(n.astype(np.int32))})
 
 
 def settle(index: DataFrame, smaller: bool) -> DataFrame:
     """Rows of FOUND per document: kind 0 has spans of settled runs, kind 1 of asked runs."""
 
-    def local(batches):
-        for batch in batches:
-            doc, run, _, _ = _unpacked(*(batch[c].to_pylist() for c in ("docs", "bases", "entries")))
-            yield from _found(doc, run, 0).to_batches()
-
     def merge(table: pa.Table) -> pa.Table:
-        doc, run, anchor, digest = _unpacked(*(table[c].to_pylist() for c in ("docs", "bases", "entries")))
+        known, open_ = (table.filter(x) for x in (table["settled"], pc.invert(table["settled"])))
+        rows = lambda t: _unpacked(*(t[c].to_pylist() for c in ("docs", "bases", "entries")))
+        done_doc, done_run, _, _ = rows(known)
+        doc, run, anchor, digest = rows(open_)
         order, _ = _groups(anchor, digest, doc)
         a, g, d = anchor[order], digest[order], doc[order]
         head = np.ones(len(order), bool)
@@ -256,18 +268,23 @@ def settle(index: DataFrame, smaller: bool) -> DataFrame:
             ask = ~settled
         else:
             settled = np.repeat(size > 1, size)
-            ask = head
-        top = np.ones(len(order), bool)
-        top[1:] = a[1:] != a[:-1]
-        first = np.flatnonzero(top)
-        total = np.diff(np.append(first, len(order)))
-        ask &= np.repeat(np.add.reduceat(head.astype(np.int64), first) > 1, total)
-        if smaller:
-            ask &= np.repeat(np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first), total)
-        return pa.concat_tables([_found(d[settled], run[order][settled], 0), _found(d[ask], run[order][ask], 1)])
+            ask = head.copy()
+        low = np.uint64(0xFFF)
+        near = _shared(a[start], g[start] >> np.uint64(12) & low) | _shared(a[start], g[start] & low)
+        ask &= np.repeat(near, size)
+        return pa.concat_tables([_found(np.concatenate([done_doc, d[settled]]), np.concatenate([done_run, run[order][settled]]), 0), _found(d[ask], run[order][ask], 1)])
+
+    return index.groupBy("part").applyInArrow(merge, FOUND)
+
 
-    here = index.where("part < 0").select("docs", "bases", "entries").mapInArrow(local, FOUND)
-    return here.union(index.where("part >= 0").groupBy("part").applyInArrow(merge, FOUND))
+def _shared(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which factors have a neighbourhood (not 0) that another factor of the anchor has too."""
+    order, new = _groups(anchor, side)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    out = np.empty(len(order), bool)
+    out[order] = np.repeat(size > 1, size)
+    return out & (side > 0)
 
 
 def per_document(found: DataFrame, label: str) -> DataFrame:
@@ -332,8 +349,7 @@ def repeated_windows(df: DataFrame, symbols: Callable, k: int, length: int, smal
     """Join (doc, text) with ``runs`` (spans of settled runs) and ``starts`` (spans of window starts)."""
     symbols_seen = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, int(symbols_seen * 2 / (length - k + 2)) // RANGE_ENTRIES)
-    index = stored(index_runs(df, symbols, k, length, ranges, smaller), "index")
-    found = stored(settle(index, smaller), "found")
+    found = stored(settle(index_runs(df, symbols, k, length, ranges, smaller), smaller), "found")
     asked = per_document(found.where("kind = 1"), "asked")
     volume = (found.where("kind = 1").agg(F.sum("n")).first()[0] or 0) * factor_bytes
     shards = max(16, volume // shard_bytes)

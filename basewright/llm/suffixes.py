@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from basewright.llm.common import table
 from basewright.llm.repeats import Powers, covered, mix, repeated_windows
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 #: Symbols that the first ranks look at: 7 of 9 bits each.
 _FIRST = 7
 
