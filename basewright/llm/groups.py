@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(labels.join(small(stored(total, "roots"), ID_ROWS), "root").select("id", F.col("least").alias("root")), "components")
 
 
-def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], stars: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, closer: Callable[[str, str], Column] | None = None, stars: int = 2) -> DataFrame:
     """id, root over all pairs that share a bucket and are confirmed; ids without a link are absent.
 
     ``members`` (a stored table): key, v and a struct ``d``, whose long ``lead`` is least for members likely
@@ -56,7 +56,9 @@ def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confir
     A bucket first links its members to one of them, another one in each of the
     ``stars`` rounds; members already in one component need no test. What is
     left are buckets that still hold several components: there every pair of
-    members of different components is tested, filtered inside the join.
+    members of different components is tested, filtered inside the join. For
+    these few members ``refine`` may give a finer sketch (v, e) that ``closer``
+    compares.
     """
     spark = members.sparkSession
     tested = edges = spark.createDataFrame([], "a long, b long")
@@ -74,9 +76,15 @@ def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confir
             look = small(stored(look, "looks"), ID_ROWS // 10)
             pairs = spokes.join(look.select(F.col("v").alias("x"), F.col("d").alias("dx")), "x").join(look.select(F.col("v").alias("y"), F.col("d").alias("dy")), "y").where(close("dx", "dy"))
         else:
-            rest = state.join(small(live.select("key")), "key")
-            left, right = (rest.select("key", F.col("v").alias(n), F.col("d").alias(f"d{n}"), F.col("c").alias(f"c{n}")) for n in "xy")
-            pairs = left.join(right, (left.key == right.key) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & close("dx", "dy"))
+            rest = stored(state.join(small(live.select("key")), "key"), "rest")
+            finer = stored(refine(stored(rest.select("v").distinct(), "rest-ids")), "finer") if refine else rest.select("v", F.lit(0).alias("e")).distinct()
+            homes = rest.groupBy("v").agg(F.collect_set("key").alias("homes"))
+            rest = rest.join(finer.join(homes, "v"), "v")
+            left, right = (rest.select("key", F.col("v").alias(n), *[F.col(c).alias(f"{c[0]}{n}") for c in ("d", "c", "e", "homes")]) for n in "xy")
+            near = close("dx", "dy") & closer("ex", "ey") if closer else close("dx", "dy")
+            # a pair comes out of the first bucket that both are in
+            once = F.array_min(F.array_intersect("hx", "hy")) == left.key
+            pairs = left.join(right, (left.key == right.key) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near & once)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(small(tested, ID_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         edges = stored(edges.union(confirm(pairs).select("a", "b")), "links")

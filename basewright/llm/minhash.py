@@ -5,7 +5,8 @@ A document's set is its distinct word shingles, as 64-bit digests. Minima of
 misses every band once in four million. Of the minima only the low two bits
 are kept, packed into two bit planes; the share of equal bit pairs, corrected
 for chance, estimates the similarity of a candidate pair, and pairs estimated
-more than six standard errors under the threshold are dropped, and so are
+more than six standard errors under the threshold are dropped (members of
+buckets that stay crowded get a sketch of 2048 minima for that), and so are
 pairs whose sizes and shingles of their own (that no other candidate has) rule
 the threshold out. The others are confirmed on their full sets.
 
@@ -33,8 +34,8 @@ from basewright.llm.groups import link_buckets
 
 BANDS, ROWS, BITS = 26, 5, 2
 HASHES = BANDS * ROWS
-#: Longs of one bit plane.
-PLANE = -(-HASHES // 64)
+#: Hash functions of the finer sketch that crowded buckets get.
+FINE = 2048
 #: Words that a task keeps digests of.
 CACHE = 1_000_000
 SIGNATURES = "doc long, n_shingles long, set_hi long, set_lo long, bands array<long>, planes array<long>"
@@ -71,15 +72,15 @@ def shingle_set(text: bytes, width: int, digests: dict) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
-    draw = np.random.default_rng(20240229).integers(0, 2**63, (2, HASHES), np.int64).astype(np.uint64)
+def _functions(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(20240229).integers(0, 2**63, (2, n), np.int64).astype(np.uint64)
     return draw[0] * np.uint64(2) + np.uint64(1), draw[1]
 
 
 def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 2048):
-        np.minimum(out, (values[i : i + 2048, None] * a + b).min(axis=0), out=out)
+    out, step = np.full(len(a), np.iinfo(np.uint64).max, np.uint64), max(1, 262_144 // len(a))
+    for i in range(0, len(values), step):
+        np.minimum(out, (values[i : i + step, None] * a + b).min(axis=0), out=out)
     return out
 
 
@@ -93,9 +94,9 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 def bit_planes(low: np.ndarray) -> np.ndarray:
     bits = _mix(low)
-    out = np.zeros((BITS, PLANE * 64), np.uint8)
+    out = np.zeros((BITS, -(-len(low) // 64) * 64), np.uint8)
     for j in range(BITS):
-        out[j, :HASHES] = (bits >> np.uint64(j)).astype(np.uint8) & 1
+        out[j, : len(low)] = (bits >> np.uint64(j)).astype(np.uint8) & 1
     return np.packbits(out, axis=1).view(np.int64).ravel()
 
 
@@ -145,21 +146,38 @@ def full_sets(df: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return _per_text(df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), one, "doc long, s array<long>")
 
 
-def estimate(x: Column, y: Column) -> Column:
+def estimate(x: Column, y: Column, hashes: int = HASHES) -> Column:
     """Similarity of two packed signatures: equal bit pairs, corrected for chance."""
-    apart = sum((F.bit_count(_differ(x, y, i)).cast("int") for i in range(PLANE)), F.lit(0))
+    plane = -(-hashes // 64)
+    apart = lambda i: F.bit_count(_differ(x, y, i, plane)).cast("int")
+    if plane <= 4:
+        total = sum((apart(F.lit(i)) for i in range(plane)), F.lit(0))
+    else:
+        total = F.aggregate(F.sequence(F.lit(0), F.lit(plane - 1)), F.lit(0), lambda n, i: n + apart(i))
     chance = 2.0**-BITS
-    return ((HASHES - apart) / F.lit(float(HASHES)) - chance) / (1 - chance)
+    return ((hashes - total) / F.lit(float(hashes)) - chance) / (1 - chance)
 
 
-def _differ(x: Column, y: Column, i: int) -> Column:
+def _differ(x: Column, y: Column, i: Column, plane: int) -> Column:
     out = None
     for j in range(BITS):
-        d = F.get(x, F.lit(j * PLANE + i)).bitwiseXOR(F.get(y, F.lit(j * PLANE + i)))
+        d = F.get(x, i + j * plane).bitwiseXOR(F.get(y, i + j * plane))
         out = d if out is None else out.bitwiseOR(d)
     return out
 
 
+def fine_sketches(full: DataFrame) -> DataFrame:
+    """(v, s) to v, e: packed bits of ``FINE`` minima."""
+
+    def run(batches):
+        a, b = _functions(FINE)
+        for batch in batches:
+            out = [bit_planes(minima(np.asarray(x, np.int64).view(np.uint64), a, b)) for x in (s.values.to_numpy() for s in batch["s"])]
+            yield pa.RecordBatch.from_arrays([batch["v"], pa.array(out, pa.list_(pa.int64()))], ["v", "e"])
+
+    return full.mapInArrow(run, "v long, e array<long>")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept. Links: 100 * intersection >= percent * union."""
     sigs = stored(signatures(df, key, text, width), "signatures")
@@ -181,20 +199,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     look = stored(look.where(100 * (F.col("d.n") - F.col("d.u")) >= percent * F.col("d.n")), "sketches")
     members = stored(some.join(small(look), "v"), "members")
     share = percent / 100.0
-    p = share + (1 - share) * 2.0**-BITS
-    least = share - 6 * (p * (1 - p) / HASHES) ** 0.5 / (1 - 2.0**-BITS)
+
+    def least(hashes: int) -> float:
+        """Six standard errors under the threshold."""
+        p = share + (1 - share) * 2.0**-BITS
+        return share - 6 * (p * (1 - p) / hashes) ** 0.5 / (1 - 2.0**-BITS)
+
 
     def close(x: str, y: str) -> Column:
         most = F.least(F.col(f"{x}.n") - F.col(f"{x}.u"), F.col(f"{y}.n") - F.col(f"{y}.u"))
         sizes = most * 100 >= F.greatest(F.col(f"{x}.n") + F.col(f"{y}.u"), F.col(f"{y}.n") + F.col(f"{x}.u")) * percent
-        return sizes & (estimate(F.col(f"{x}.p"), F.col(f"{y}.p")) >= least)
+        return sizes & (estimate(F.col(f"{x}.p"), F.col(f"{y}.p")) >= least(HASHES))
+
+    def closer(x: str, y: str) -> Column:
+        return estimate(F.col(x), F.col(y), FINE) >= least(FINE)
+
+    def refine(few: DataFrame) -> DataFrame:
+        return fine_sketches(few.join(full.withColumnRenamed("doc", "v"), "v"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda n: full.select(F.col("doc").alias(n), F.col("s").alias(f"s{n}"))
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
-    labels = link_buckets(members, close, confirm)
+    labels = link_buckets(members, close, confirm, refine, closer)
     rows = sigs.select("doc", "n_shingles", *sets).join(classes, sets, "left")
     rows = rows.join(small(labels, ID_ROWS), F.col("v") == F.col("id"), "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("root", "v", "doc"))
