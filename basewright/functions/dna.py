@@ -66,10 +66,24 @@ def kmer_id(kmer: Column) -> Column:
     return F.coalesce(kmer_index(kmer) + 1, F.lit(0))
 
 
+#: Bases cut at a time: finding a position walks a string from its start.
+STRETCH = 1024
+
+
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body`` as a variable."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def kmers(seq: Column, k: int) -> Column:
     """C11: all overlapping k-mers, also those with N; empty if shorter than k."""
-    spots = F.sequence(F.lit(1), F.length(seq) - k + 1)
-    return F.when(F.length(seq) >= k, F.transform(spots, lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    def of(part: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(part) - k + 1), lambda i: F.substring(part, i, F.lit(k)))
+
+    starts = F.sequence(F.lit(1), F.length(seq) - k + 1, F.lit(STRETCH))
+    parts = F.transform(starts, lambda s: bind(F.substring(seq, s, F.lit(STRETCH + k - 1)), of))
+    return F.when(F.length(seq) >= k, F.flatten(parts)).otherwise(F.array().cast("array<string>"))
 
 
 def split_on_n(seq: Column) -> Column:
