@@ -53,10 +53,14 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.int64)
     for j in range(_FIRST):
         key = (key << 9) | np.where(left >= j, pad[j : n + j], 0)
-    tie = np.where(left < _FIRST, string + 1, 0)
-    sa = np.lexsort((tie, key))
+    sa = np.argsort(key)
+    # suffixes that end at once: their equal keys, which no others have, go by the string's place
+    at = np.flatnonzero(left[sa] < _FIRST)
+    few = sa[at]
+    sa[at] = few[np.lexsort((string[few], key[few]))]
     new = np.ones(n, bool)
-    new[1:] = (key[sa][1:] != key[sa][:-1]) | (tie[sa][1:] != tie[sa][:-1])
+    sorted_key = key[sa]
+    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (left[sa[1:]] < _FIRST)
     rank = np.empty(n, np.int64)
     start = np.flatnonzero(new)
     rank[sa] = np.repeat(start, np.diff(np.append(start, n)))
@@ -71,7 +75,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         after = np.full(len(i), -1, np.int64)
         inside = i + have < n
         after[inside] = rank[i[inside] + have]
-        order = np.lexsort((after, rank[i]))
+        order = np.argsort(rank[i] * (n + 1) + after + 1)
         i, after, group = i[order], after[order], rank[i][order]
         sa[at] = i
         split = np.ones(len(i), bool)
@@ -101,13 +105,11 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, starts:
         j = np.where(r > 0, sa[np.maximum(r - 1, 0)], n)
         k = np.maximum(h[lane] - 1, 0)
         k[j == n] = 0
-        go = j < n
-        while True:
-            a, b = i + k, j + k
-            go &= (a < n) & (b < n)
-            go[go] = (text[a[go]] == text[b[go]]) & (text[a[go]] > 0)
-            if not go.any():
-                break
+        go = np.flatnonzero(j < n)
+        while len(go):  # only lanes that still grow
+            a, b = i[go] + k[go], j[go] + k[go]
+            symbol = text[a]
+            go = go[(symbol > 0) & (symbol == text[np.minimum(b, n - 1)])]
             k[go] += 1
         out[i] = k
         h[lane] = k
