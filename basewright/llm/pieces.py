@@ -13,20 +13,27 @@ The scores are taken as additive weights also for a model whose own encoder
 merges pairs; ids then decode to the same text, but may cut words elsewhere
 than pair merging would.
 
-Edge cases: null text has null ids; an empty text has none; equal texts are
-encoded once; ids of all texts decode to the text again; an empty table gives
+Edge cases: null text has null ids; an empty text has none; ids of all
+texts decode to the text again; an empty table gives
 an empty result; extra columns are carried along.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from hashlib import blake2b
 
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from basewright.llm.common import let, table
 
@@ -36,6 +43,8 @@ SPACE = "▁"
 WORD = r"\n| *[^ \n]+| +"
 #: Added to the least score for each byte of a character without a piece.
 BYTE_PENALTY = -10.0
+#: Text bytes of a block of rows, and of a part of the words.
+BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
 
 
 @dataclass
@@ -68,66 +77,179 @@ def load_model(path: str = MODEL) -> Model:
     return Model(pieces, bytes_at, hexes, max(len(p) for p, _, _ in pieces), min(s for _, _, s in pieces) + BYTE_PENALTY)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, spaces marked, with the leading space that encoding adds."""
-    return F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(f"({WORD})"), F.lit(1))
+def _lattice(words: DataFrame, model: Model) -> DataFrame:
+    """(part, word) to part, word, edges: every piece that fits, as structs (stop, start, score, id), in that order.
 
-
-def _edges(words: DataFrame, model: Model) -> DataFrame:
-    """word, stop, start, score, ids: one row per piece that fits."""
-    pieces = words.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double")
-    n = F.length("word")
+    A character without a piece has an edge with the id -1. The rows stay where ``part`` put them.
+    """
+    # as long as the vocabulary, whatever the corpus
+    pieces = F.broadcast(words.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double"))
     marked = F.translate("word", " ", SPACE)
-    at = words.select("word", marked.alias("w"), F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    cut = at.select("word", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
-    cut = cut.select("word", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
-    # the piece table is as long as the vocabulary, whatever the corpus
-    fit = cut.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    raw = F.hex(F.encode(F.translate("piece", SPACE, " "), "UTF-8"))
-    each = F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1)
-    as_bytes = F.transform(each, lambda i: (F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + model.bytes_at))
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(as_bytes)
-    score = F.coalesce("score", F.length(raw) / 2 * model.byte_score)
-    return fit.select("word", (F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("start"), score.alias("score"), ids.alias("ids"))
+    at = words.select("part", "word", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    cut = at.select("part", "word", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
+    cut = cut.select("part", "word", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
+    fit = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
+    spare = F.octet_length(F.translate("piece", SPACE, " ")) * model.byte_score
+    edge = F.struct((F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("start"), F.coalesce("score", spare).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
+    return fit.groupBy("part", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
+def _viterbi(edges: Column) -> Column:
+    """The best path as an array of structs (score, start, id), by end position; entry 0 is the origin."""
+    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
+
+    def step(best: Column, e: Column) -> Column:
+        last = F.size(best) - 1
+        way = F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+        # edges to one end come by start: the longest first, which keeps a tie
+        return F.when(e["stop"] > last, F.concat(best, F.array(way))).when(way["score"] > F.get(best, last)["score"], F.concat(F.slice(best, 1, last), F.array(way))).otherwise(best)
+
+    return F.aggregate(edges, origin, step)
+
+
+def _path(best: Column) -> Column:
+    """Walk back from the end: structs (start, id) in order."""
+    end = F.size(best) - 1
+    zero = F.struct(end.alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
+
+    def step(a: Column, i: Column) -> Column:
+        here = F.get(best, i)
+        one = F.array(F.struct(here["start"].alias("start"), here["id"].alias("id")))
+        return F.when(i == a["at"], F.struct(here["start"].alias("at"), F.concat(one, a["path"]).alias("path"))).otherwise(a)
+
+    return F.aggregate(F.sequence(end, F.lit(1), F.lit(-1)), zero, step)["path"]
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """Distinct (word) to word, ids."""
-    by_stop = _edges(words, model).groupBy("word", "stop").agg(F.collect_list(F.struct("start", "score", "ids")).alias("into"))
-    lattice = by_stop.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("stop", "into"))).alias("stops"))
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids")))
+    """Distinct (part, word) to part, word, ids."""
+    paths = _lattice(words, model).select("part", "word", let(_viterbi(F.col("edges")), _path).alias("path"))
+
+    def byte_ids(x: Column) -> Column:
+        raw = F.hex(F.encode(F.substring("word", x["start"] + 1, F.lit(1)), "UTF-8"))
+        spots = F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2))
+        return F.transform(spots, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + model.bytes_at)
+
+    plain = F.transform("path", lambda x: x["id"])
+    spelled = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(byte_ids(x))))
+    return paths.select("part", "word", F.when(F.array_contains(plain, -1), spelled).otherwise(plain).alias("ids"))
+
+
+_SPLIT = re.compile(WORD)
+
 
-    def reach(best: Column, stop: Column) -> Column:
-        ways = F.transform(stop["into"], lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["ids"].alias("ids")))
-        # a larger start is a shorter piece
-        top = F.aggregate(ways, F.get(ways, F.lit(0)), lambda a, w: F.when((w["score"] > a["score"]) | ((w["score"] == a["score"]) & (w["start"] < a["start"])), w).otherwise(a))
-        return F.concat(best, F.array(top))
+def words_of(text: str) -> list[str]:
+    """The words of a text, with the leading space that encoding adds."""
+    return _SPLIT.findall(" " + text)
 
-    def back(best: Column) -> Column:
-        end = F.size(best) - 1
-        start = F.struct(end.alias("at"), F.array().cast("array<array<int>>").alias("path"))
 
-        def step(a, i):
-            here = F.get(best, i)
-            return F.when(i == a["at"], F.struct(here["start"].alias("at"), F.concat(a["path"], F.array(here["ids"])).alias("path"))).otherwise(a)
+def _part(words: list[str], parts: int) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words], np.int64) * parts >> 32
 
-        return F.flatten(F.reverse(F.aggregate(F.sequence(end, F.lit(1), F.lit(-1)), start, step)["path"]))
 
-    folded = F.aggregate("stops", origin, reach)
-    return lattice.select("word", let(folded, back).alias("ids"))
+def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table, list[str]]]:
+    """Rows of some megabytes of text, a digest of them, and their distinct words in order, without the line feed."""
+    held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
+
+    def done():
+        return int.from_bytes(digest.digest(), "little", signed=True), pa.Table.from_batches(held), sorted(seen - {"\n"})
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            for t in part[text].to_pylist():
+                if t is not None:
+                    seen.update(words_of(t))
+                    raw = t.encode()
+                    digest.update(len(raw).to_bytes(8, "little") + raw)
+                    size += len(raw)
+                else:
+                    digest.update(b"null")
+            held.append(part)
+            if size > BLOCK_BYTES:
+                yield done()
+                held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
+    if held:
+        yield done()
+
+
+def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
+    def run(batches):
+        for block, _, words in _blocks(batches, text):
+            part = _part(words, parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(parts + 1))
+            for p in range(parts):
+                if edges[p] < edges[p + 1]:
+                    blob = "\n".join(words[i] for i in order[edges[p] : edges[p + 1]])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.int64()), pa.array([blob])], ["part", "block", "words"])
+
+    return df.select(text).mapInArrow(run, "part int, block long, words string")
+
+
+def _send_rows(df: DataFrame, text: str) -> DataFrame:
+    def run(batches):
+        for block, rows, _ in _blocks(batches, text):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                out.write_table(rows.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+
+    return df.mapInArrow(run, "block long, data binary")
 
 
 def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFrame:
-    """``df`` with ``ids`` (array<int>)."""
-    model = load_model(model_path)
-    key = lambda c: F.unhex(F.md5(c.cast("binary")))
-    texts = df.where(F.col(text).isNotNull()).select(key(F.col(text)).alias("_key"), F.col(text).alias("_text"))
-    each = texts.select("_key", F.posexplode(words_of(F.col("_text"))).alias("pos", "word")).where(F.length("word") > 0)
-    words = each.select("word").distinct()
-    ids = each.join(encode_words(words, model), "word").groupBy("_key").agg(F.array_sort(F.collect_set(F.struct("pos", "ids"))).alias("_parts"))
-    ids = ids.select(F.col("_key").alias("_text_key"), F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
-    out = df.withColumn("_own_key", key(F.col(text))).join(ids, F.col("_own_key") == F.col("_text_key"), "left")
-    return out.drop("_own_key", "_text_key")
+    """``df`` (a stored table) with ``ids`` (array<int>).
+
+    Rows travel in blocks of some megabytes, compressed; a block's distinct
+    words go to the part of their checksum, meet the words of other blocks
+    there, and the ids come back to the block. So a word is shuffled once a
+    block, not once an occurrence. Both scans of ``df`` must cut the same
+    blocks; a digest of the texts makes sure.
+    """
+    model, spark = load_model(model_path), df.sparkSession
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(48, size // PART_BYTES)
+    sent = _send_words(df, text, parts).repartition("part")
+    distinct = sent.select("part", F.explode(F.split("words", "\n")).alias("word")).groupBy("part", "word").agg(F.lit(1).alias("_"))
+    known = encode_words(distinct.select("part", "word"), model).select(F.col("part").alias("own_part"), "word", "ids")
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = {w: np.array(i, "<i4").tobytes() for w, i in zip(right["word"].to_pylist(), right["ids"].to_pylist())}
+        found = [[ids[w] for w in words.split("\n")] for words in left["words"].to_pylist()]
+        counts = [np.array([len(x) // 4 for x in f], "<i4").tobytes() for f in found]
+        return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array([b"".join(f) for f in found], pa.binary())})
+
+    answers = sent.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part int, counts binary, ids binary")
+    line_feed = next((i for p, i, _ in model.pieces if p == "\n"), model.bytes_at + 10)
+    schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        by_part = {p: (c, i) for p, c, i in zip(*(right[n].to_pylist() for n in ("part", "counts", "ids")))}
+        out = []
+        for data in left["data"].to_pylist():
+            rows = pa.ipc.open_stream(data).read_all()
+            texts = rows[text].to_pylist()
+            words = sorted({w for t in texts if t is not None for w in words_of(t)} - {"\n"})
+            part = _part(words, parts)
+            known = {"\n": np.array([line_feed], "<i4").tobytes()}
+            for p in np.unique(part):
+                counts, ids = by_part[p]
+                stops = np.cumsum(np.frombuffer(counts, "<i4")) * 4
+                mine = np.flatnonzero(part == p)
+                if len(mine) != len(stops):
+                    raise ValueError("the scans of the documents cut different blocks; store them first")
+                at = 0
+                for w, stop in zip(mine, stops):
+                    known[words[w]] = ids[at:stop]
+                    at = stop
+            found = [None if t is None else b"" if t == "" else b"".join(map(known.__getitem__, words_of(t))) for t in texts]
+            lengths = np.array([0 if f is None else len(f) // 4 for f in found])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([f is None for f in found] + [False]))
+            values = pa.array(np.frombuffer(b"".join(f for f in found if f), "<i4"))
+            out.append(rows.append_column("ids", pa.ListArray.from_arrays(offsets, values)))
+        return pa.concat_tables(out) if out else pa.schema([]).empty_table()
+
+    return _send_rows(df, text).groupBy("block").cogroup(answers.withColumnRenamed("block", "own_block").groupBy("own_block")).applyInArrow(apply, schema)
 
 
 def decode(ids: Column, model_path: str = MODEL) -> Column:
