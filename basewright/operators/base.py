@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,3 +19,17 @@ def sequences(spark: SparkSession, sf_dir: str, keep_r: bool = False) -> DataFra
     if keep_r:
         seq = F.when(F.col("doc_id") % 17 == 0, F.regexp_replace(F.upper("text"), "[^ACGTNR]", "")).otherwise(seq)
     return docs.select(F.col("source").alias("file"), F.col("lang").alias("domain"), F.col("doc_id").alias("record_idx"), seq.alias("seq"))
+
+
+_folders: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return f"{found.rstrip('/')}/basewright"
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = tempfile.mkdtemp(prefix="basewright-")
+    return _folders[app]
