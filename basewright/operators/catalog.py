@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType
 from pyspark.sql.window import Window
 
 
@@ -188,7 +189,7 @@ def flatten_numbers(text: str | None, prefix: str = "benchmark", max_depth: int
     return out
 
 
-@F.pandas_udf("map<string,double>")
+@F.pandas_udf(MapType(StringType(), DoubleType()))
 def flattened(texts: pd.Series) -> pd.Series:
     """C22 as a column function."""
     return pd.Series([flatten_numbers(t) for t in texts])

@@ -96,7 +96,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_class_folders(spark: SparkSession, path: str, per_split: int | None = None) -> DataFrame:
     """Split, label, file, seq of ``<split>/<class>/<file>``; header lines are dropped."""
-    files = spark.read.option("wholetext", True).text(f"{path}/*/*/*").select("value", F.col("_metadata.file_path").alias("file"))
+    files = spark.read.text(f"{path}/*/*/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     bases = F.regexp_replace(F.regexp_replace("value", r"(?m)^>.*$", ""), r"\s+", "")
     place = F.split("file", "/")
     rows = files.select(F.element_at(place, -3).alias("split"), F.element_at(place, -2).alias("label"), "file", bases.alias("seq")).where(F.length("seq") > 0)
