@@ -44,7 +44,7 @@ WORD = r"\n| *[^ \n]+| +"
 #: Added to the least score for each byte of a character without a piece.
 BYTE_PENALTY = -10.0
 #: Text bytes of a block of rows, and of a part of the words.
-BLOCK_BYTES, PART_BYTES = 24 << 20, 16 << 20
+BLOCK_BYTES, PART_BYTES = 16 << 20, 8 << 20
 
 
 @dataclass
@@ -78,20 +78,20 @@ def load_model(path: str = MODEL) -> Model:
 
 
 def _lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(part, word) to part, word, edges: every piece that fits, as structs (stop, start, score, id), in that order.
+    """(part, word, seen) to part, word, seen, edges: every piece that fits, as structs (stop, start, score, id), in that order.
 
     A character without a piece has an edge with the id -1. The rows stay where ``part`` put them.
     """
     # as long as the vocabulary, whatever the corpus
     pieces = F.broadcast(words.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double"))
     marked = F.translate("word", " ", SPACE)
-    at = words.select("part", "word", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    cut = at.select("part", "word", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
-    cut = cut.select("part", "word", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
+    at = words.select("part", "word", "seen", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    cut = at.select("part", "word", "seen", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
+    cut = cut.select("part", "word", "seen", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
     fit = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     spare = F.octet_length(F.translate("piece", SPACE, " ")) * model.byte_score
     edge = F.struct((F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("start"), F.coalesce("score", spare).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return fit.groupBy("part", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return fit.groupBy("part", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.first("seen").alias("seen"))
 
 
 def _viterbi(edges: Column) -> Column:
@@ -121,8 +121,8 @@ def _path(best: Column) -> Column:
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """Distinct (part, word) to part, word, ids."""
-    paths = _lattice(words, model).select("part", "word", let(_viterbi(F.col("edges")), _path).alias("path"))
+    """Distinct (part, word) with ``seen`` to part, word, seen, ids."""
+    paths = _lattice(words, model).select("part", "word", "seen", let(_viterbi(F.col("edges")), _path).alias("path"))
 
     def byte_ids(x: Column) -> Column:
         raw = F.hex(F.encode(F.substring("word", x["start"] + 1, F.lit(1)), "UTF-8"))
@@ -131,7 +131,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
 
     plain = F.transform("path", lambda x: x["id"])
     spelled = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(byte_ids(x))))
-    return paths.select("part", "word", F.when(F.array_contains(plain, -1), spelled).otherwise(plain).alias("ids"))
+    return paths.select("part", "word", "seen", F.when(F.array_contains(plain, -1), spelled).otherwise(plain).alias("ids"))
 
 
 _SPLIT = re.compile(WORD)
@@ -139,7 +139,18 @@ _SPLIT = re.compile(WORD)
 
 def words_of(text: str) -> list[str]:
     """The words of a text, with the leading space that encoding adds."""
-    return _SPLIT.findall(" " + text)
+    out: list[str] = []
+    for i, line in enumerate((" " + text).split("\n")):
+        if i:
+            out.append("\n")
+        if "  " in line or line.endswith(" "):
+            out += _SPLIT.findall(line)
+        elif line:
+            first, *rest = line.split(" ")
+            if first:
+                out.append(first)
+            out += [" " + w for w in rest]
+    return out
 
 
 def _part(words: list[str], parts: int) -> np.ndarray:
@@ -190,7 +201,7 @@ def _send_rows(df: DataFrame, text: str) -> DataFrame:
     def run(batches):
         for block, rows, _ in _blocks(batches, text):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows.combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
@@ -208,10 +219,12 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
     """
     model, spark = load_model(model_path), df.sparkSession
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(48, size // PART_BYTES)
-    sent = _send_words(df, text, parts).repartition("part")
-    distinct = sent.select("part", F.explode(F.split("words", "\n")).alias("word")).groupBy("part", "word").agg(F.lit(1).alias("_"))
-    known = encode_words(distinct.select("part", "word"), model).select(F.col("part").alias("own_part"), "word", "ids")
+    parts = max(96, size // PART_BYTES)
+    # a fixed number of partitions: a word grows to dozens of edges, which sizes measured before don't tell
+    sent = _send_words(df, text, parts).repartition(parts, "part")
+    # ``seen`` keeps both uses of ``sent`` alike, so that one shuffle serves both
+    distinct = sent.select("part", "block", F.explode(F.split("words", "\n")).alias("word")).groupBy("part", "word").agg(F.min("block").alias("seen"))
+    known = encode_words(distinct, model).select(F.col("part").alias("own_part"), "word", "ids", "seen")
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = {w: np.array(i, "<i4").tobytes() for w, i in zip(right["word"].to_pylist(), right["ids"].to_pylist())}
