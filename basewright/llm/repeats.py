@@ -40,6 +40,8 @@ _CHUNK = 1 << 22
 BLOCK_ROWS, BLOCK_SYMBOLS = 4_000, 3_000_000
 #: Index entries that one range holds on average, and their layout.
 RANGE_ENTRIES = 1_000_000
+#: Asked factors of one anchor beyond which they are spread over several shards.
+CROWD = 2_000
 ENTRY = np.dtype([("anchor", "<u4"), ("digest", "<u8"), ("doc", "<u2"), ("run", "<u2")])
 
 
@@ -250,7 +252,10 @@ def _found(doc: np.ndarray, run: np.ndarray, kind: int) -> pa.Table:
 
 
 def settle(index: DataFrame, smaller: bool) -> DataFrame:
-    """Rows of FOUND per document: kind 0 has spans of settled runs, kind 1 of asked runs."""
+    """Rows of FOUND per document: kind 0 has spans of settled runs, kind 1 of asked runs.
+
+    Kind 3 are asked runs of crowded anchors, whose factors don't fit one shard.
+    """
 
     def merge(table: pa.Table) -> pa.Table:
         known, open_ = (table.filter(x) for x in (table["settled"], pc.invert(table["settled"])))
@@ -272,7 +277,11 @@ def settle(index: DataFrame, smaller: bool) -> DataFrame:
         low = np.uint64(0xFFF)
         near = _shared(a[start], g[start] >> np.uint64(12) & low) | _shared(a[start], g[start] & low)
         ask &= np.repeat(near, size)
-        return pa.concat_tables([_found(np.concatenate([done_doc, d[settled]]), np.concatenate([done_run, run[order][settled]]), 0), _found(d[ask], run[order][ask], 1)])
+        top = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
+        total = np.diff(np.append(top, len(a)))
+        crowded = np.repeat(np.add.reduceat(ask.astype(np.int64), top) > CROWD, total) if len(a) else ask
+        r = run[order]
+        return pa.concat_tables([_found(np.concatenate([done_doc, d[settled]]), np.concatenate([done_run, r[settled]]), 0), _found(d[ask & ~crowded], r[ask & ~crowded], 1), _found(d[ask & crowded], r[ask & crowded], 3)])
 
     return index.groupBy("part").applyInArrow(merge, FOUND)
 
@@ -287,9 +296,10 @@ def _shared(anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
     return out & (side > 0)
 
 
-def per_document(found: DataFrame, label: str) -> DataFrame:
-    """doc and the list of its blobs, stored."""
-    return stored(found.groupBy("doc").agg(F.collect_list("runs").alias("runs")), label)
+def per_document(found: DataFrame, label: str, **kinds: int) -> DataFrame:
+    """doc and, by name, the list of its blobs of a kind, stored."""
+    blobs = [F.collect_list(F.when(F.col("kind") == k, F.col("runs"))).alias(name) for name, k in kinds.items()]
+    return stored(found.groupBy("doc").agg(*blobs), label)
 
 
 def joined_spans(blobs: list[bytes] | None) -> np.ndarray:
@@ -304,9 +314,9 @@ CONTENT = "shard int, docs binary, anchors binary, firsts binary, counts binary,
 
 
 def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length: int, shards: int, content: Callable) -> DataFrame:
-    """The asked factors of (doc, text, runs), routed to the shard of their anchor.
+    """The asked factors of (doc, text, runs, crowd), routed to the shard of their anchor.
 
-    ``content(text, runs, run)`` gives a factor's bytes.
+    Those of ``crowd`` go to any shard, numbered from -1 down. ``content(text, runs, run)`` gives a factor's bytes.
     """
 
     def run(batches):
@@ -314,11 +324,12 @@ def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length:
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part, lots = batch.slice(at, 400), {}
-                for doc, text, blobs in zip(part["doc"].to_pylist(), part["text"].cast(pa.binary()), part["runs"].to_pylist()):
+                for doc, text, runs, crowd in zip(part["doc"].to_pylist(), part["text"].cast(pa.binary()), part["runs"].to_pylist(), part["crowd"].to_pylist()):
                     text = text.as_py()
                     r = runs_of(sym(text), k, length, powers)
-                    for i in joined_spans(blobs):
-                        shard = int(r.anchor[i] >> np.uint64(32)) * shards >> 32
+                    here = [(i, int(r.anchor[i] >> np.uint64(32)) * shards >> 32) for i in joined_spans(runs)]
+                    here += [(i, -1 - int((r.digest[i] >> np.uint64(24)) % np.uint64(shards))) for i in joined_spans(crowd)]
+                    for i, shard in here:
                         lots.setdefault(shard, []).append((doc, int(r.anchor[i]), int(r.first[i]), int(r.count[i]), content(text, r, i)))
                 for shard, rows in lots.items():
                     cols = [np.array([x[j] for x in rows], t).tobytes() for j, t in ((0, "<i8"), (1, "<u8"), (2, "<i4"), (3, "<i4"))]
@@ -328,36 +339,86 @@ def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length:
     return df.mapInArrow(run, CONTENT)
 
 
-def compared(content: DataFrame, compare: Callable) -> DataFrame:
+def _shard_arrays(table: pa.Table):
+    get = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+    docs, firsts, counts = get("docs", "<i8"), get("firsts", "<i4").astype(np.int64), get("counts", "<i4").astype(np.int64)
+    starts = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    return docs, get("anchors", "<u8"), counts, b"".join(table["content"].to_pylist()), np.repeat(docs, counts), starts
+
+
+def compared(content: DataFrame, compare: Callable, digests: Callable, smaller: bool, shards: int) -> DataFrame:
     """Rows of FOUND, kind 2: spans of repeated window starts, by ``compare(docs, anchors, counts, content)``.
 
-    ``compare`` gives a flag for every window, factor after factor.
+    ``compare`` gives a flag for every window, factor after factor. Shards of
+    crowded anchors are merged: each sends its own distinct windows, sorted, to
+    the range of their digests, where binary search finds those of other shards.
     """
 
     def shard(table: pa.Table) -> pa.Table:
-        get = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
-        docs, firsts, counts = get("docs", "<i8"), get("firsts", "<i4").astype(np.int64), get("counts", "<i4").astype(np.int64)
-        flags = compare(docs, get("anchors", "<u8"), counts, b"".join(table["content"].to_pylist()))
-        before = np.cumsum(counts) - counts
-        starts = np.repeat(firsts - before, counts) + np.arange(counts.sum())
-        return _found(np.repeat(docs, counts)[flags], starts[flags], 2)
+        docs, anchors, counts, data, owner, starts = _shard_arrays(table)
+        flags = compare(docs, anchors, counts, data)
+        return _found(owner[flags], starts[flags], 2)
+
+    sent = "part int, shard int, digests binary, docs binary, starts binary, many binary"
+
+    def crowd(table: pa.Table) -> pa.Table:
+        docs, anchors, counts, data, owner, starts = _shard_arrays(table)
+        seen = digests(counts, data)
+        order = np.lexsort((owner, seen))
+        d = seen[order]
+        head = np.concatenate([[True], d[1:] != d[:-1]])
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(d)))
+        # a window goes on once for each document that may be the smallest here, or else once with its number
+        keep = owner[order] == np.repeat(owner[order][at], size) if smaller else np.ones(len(d), bool)
+        o, many = order[keep], np.repeat(size, size)[keep]
+        part = (seen[o] >> np.uint64(32)).astype(np.int64) * shards >> 32
+        edges = np.searchsorted(part, np.arange(shards + 1))
+        lost = order[~keep]
+        parts = [p for p in range(shards) if edges[p] < edges[p + 1]]
+        cut = lambda x, t: [x[edges[p] : edges[p + 1]].astype(t).tobytes() for p in parts]
+        number = [table["shard"][0].as_py()] * len(parts)
+        rows = {"part": pa.array(parts, pa.int32()), "shard": pa.array(number, pa.int32()), "digests": cut(seen[o], "<u8"), "docs": cut(owner[o], "<i8"), "starts": cut(starts[o], "<i4"), "many": cut(many, "<i4")}
+        gone = {"part": pa.array([-1], pa.int32()), "shard": pa.array([0], pa.int32()), "digests": [b""], "docs": [owner[lost].astype("<i8").tobytes()], "starts": [starts[lost].astype("<i4").tobytes()], "many": [b""]}
+        kinds = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("digests", "docs", "starts", "many"))])
+        return pa.concat_tables([pa.table(rows, schema=kinds), pa.table(gone, schema=kinds)])
 
-    return content.groupBy("shard").applyInArrow(shard, FOUND)
-
-
-def repeated_windows(df: DataFrame, symbols: Callable, k: int, length: int, smaller: bool, content: Callable, compare: Callable, factor_bytes: int, shard_bytes: int = 2 << 20) -> DataFrame:
+    def merge(table: pa.Table) -> pa.Table:
+        lists = [[np.frombuffer(x, t) for x, t in zip(row, ("<u8", "<i8", "<i4", "<i4"))] for row in zip(*(table[c].to_pylist() for c in ("digests", "docs", "starts", "many")))]
+        if table["part"][0].as_py() < 0:
+            return _found(np.concatenate([x[1] for x in lists]), np.concatenate([x[2] for x in lists]), 2)
+        known, value = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for d, doc, _, many in lists:  # each sorted; what is known stays sorted
+            at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            d, new = d[at], (doc if smaller else many.astype(np.int64))[at]
+            place = np.searchsorted(known, d)
+            old = np.zeros(len(d), bool)
+            inside = place < len(known)
+            old[inside] = known[place[inside]] == d[inside]
+            value[place[old]] = np.minimum(value[place[old]], new[old]) if smaller else value[place[old]] + new[old]
+            known, value = np.insert(known, place[~old], d[~old]), np.insert(value, place[~old], new[~old])
+        out = []
+        for d, doc, start, _ in lists:
+            best = value[np.searchsorted(known, d)]
+            flags = best < doc if smaller else best > 1
+            out.append(_found(doc[flags], start[flags], 2))
+        return pa.concat_tables(out)
+
+    spread = content.where("shard < 0").groupBy("shard").applyInArrow(crowd, sent)
+    return content.where("shard >= 0").groupBy("shard").applyInArrow(shard, FOUND).union(spread.groupBy("part").applyInArrow(merge, FOUND))
+
+
+def repeated_windows(df: DataFrame, symbols: Callable, k: int, length: int, smaller: bool, content: Callable, compare: Callable, digests: Callable, factor_bytes: int, shard_bytes: int = 3 << 19) -> DataFrame:
     """Join (doc, text) with ``runs`` (spans of settled runs) and ``starts`` (spans of window starts)."""
     symbols_seen = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, int(symbols_seen * 2 / (length - k + 2)) // RANGE_ENTRIES)
     found = stored(settle(index_runs(df, symbols, k, length, ranges, smaller), smaller), "found")
-    asked = per_document(found.where("kind = 1"), "asked")
-    volume = (found.where("kind = 1").agg(F.sum("n")).first()[0] or 0) * factor_bytes
+    asked = per_document(found.where("kind <> 0"), "asked", runs=1, crowd=3)
+    volume = (found.where("kind <> 0").agg(F.sum("n")).first()[0] or 0) * factor_bytes
     shards = max(16, volume // shard_bytes)
-    routed = ask_content(df.join(asked, "doc"), symbols, k, length, shards, content)
-    single = stored(compared(routed, compare), "single")
-    both = found.where("kind = 0").union(single)
-    blobs = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.col("runs")))
-    total = stored(both.groupBy("doc").agg(blobs(0).alias("runs"), blobs(2).alias("starts")), "repeats")
+    routed = stored(ask_content(df.join(asked, "doc"), symbols, k, length, shards, content), "factors")
+    single = compared(routed, compare, digests, smaller, shards)
+    total = per_document(found.where("kind = 0").union(single), "repeats", runs=0, starts=2)
     return df.join(total, "doc", "left")
 
 

@@ -62,7 +62,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
     gram = min(GRAM, length)
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     content = lambda raw, runs, run: runs.windows(run, length).tobytes()
-    found = repeated_windows(rows, word_symbols, gram, length, False, content, _same_windows, 8 * (length - gram + 1) // 2)
+    found = repeated_windows(rows, word_symbols, gram, length, False, content, _same_windows, lambda counts, data: np.frombuffer(data, np.uint64), 8 * (length - gram + 1) // 2)
 
     def cut(batches):
         sym, powers = word_symbols(), Powers()

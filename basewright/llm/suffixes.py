@@ -140,12 +140,25 @@ def _smaller_copies(length: int):
     return compare
 
 
+def _window_digests(length: int):
+    def digests(counts, content) -> np.ndarray:
+        """The digest of every window, factor after factor."""
+        up, down = Powers().upto(len(content) + 1)
+        sums = np.zeros(len(content) + 1, np.uint64)
+        np.cumsum(byte_symbols()(content) * up[: len(content)], out=sums[1:])
+        sizes = counts + length - 1
+        at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return mix((sums[at + length] - sums[at]) * down[at])
+
+    return digests
+
+
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row: key, n_bytes, n_removed, n_spans, edges (start, stop, start, …), kept (remaining bytes), kept_sha256."""
     gram = min(GRAM, length)
     rows = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     content = lambda raw, r, run: raw[r.first[run] : r.first[run] + r.count[run] - 1 + length]
-    found = repeated_windows(rows, byte_symbols, gram, length, True, content, _smaller_copies(length), length + (length - gram + 1) // 2)
+    found = repeated_windows(rows, byte_symbols, gram, length, True, content, _smaller_copies(length), _window_digests(length), length + (length - gram + 1) // 2)
 
     def cut(batches):
         sym, powers = byte_symbols(), Powers()

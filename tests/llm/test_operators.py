@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from basewright.llm import decontaminate, groups, html_text, lines, minhash, pieces, quality, queries, rlz, sharding, suffixes, warc
+from basewright.llm import decontaminate, groups, html_text, lines, minhash, pieces, quality, queries, repeats, rlz, sharding, suffixes, warc
 from basewright.llm.common import stored
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -225,6 +225,13 @@ def test_repeated_bytes(docs, texts, empty):
     assert suffixes.remove_repeats(empty).count() == 0
 
 
+def test_crowded_anchors_are_merged(docs, monkeypatch):
+    want = {k: bytes(r.kept) for k, r in by_id(suffixes.remove_repeats(docs)).items()}, {k: r.kept for k, r in by_id(rlz.remove_repeats(docs)).items()}
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    got = {k: bytes(r.kept) for k, r in by_id(suffixes.remove_repeats(docs)).items()}, {k: r.kept for k, r in by_id(rlz.remove_repeats(docs)).items()}
+    assert got == want
+
+
 def test_suffix_array_of_random_strings():
     import numpy as np
 
