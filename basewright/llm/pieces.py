@@ -44,7 +44,7 @@ WORD = r"\n| *[^ \n]+| +"
 #: Added to the least score for each byte of a character without a piece.
 BYTE_PENALTY = -10.0
 #: Text bytes of a block of rows, and of a part of the words.
-BLOCK_BYTES, PART_BYTES = 16 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
 
 
 @dataclass
@@ -157,8 +157,8 @@ def _part(words: list[str], parts: int) -> np.ndarray:
     return np.array([zlib.crc32(w.encode()) for w in words], np.int64) * parts >> 32
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, pa.Table, list[str]]]:
-    """Rows of some megabytes of text, a digest of them, and their distinct words in order, without the line feed."""
+def _blocks(batches: Iterator[pa.RecordBatch], text: str, cut: bool) -> Iterator[tuple[int, pa.Table, list[str]]]:
+    """Rows of some megabytes of text, a digest of them, and, if asked to cut them, their distinct words in order, without the line feed."""
     held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
 
     def done():
@@ -169,7 +169,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int,
             part = batch.slice(at, 200)
             for t in part[text].to_pylist():
                 if t is not None:
-                    seen.update(words_of(t))
+                    if cut:
+                        seen.update(words_of(t))
                     raw = t.encode()
                     digest.update(len(raw).to_bytes(8, "little") + raw)
                     size += len(raw)
@@ -185,7 +186,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int,
 
 def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
     def run(batches):
-        for block, _, words in _blocks(batches, text):
+        for block, _, words in _blocks(batches, text, True):
             part = _part(words, parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1))
@@ -199,7 +200,7 @@ def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
 
 def _send_rows(df: DataFrame, text: str) -> DataFrame:
     def run(batches):
-        for block, rows, _ in _blocks(batches, text):
+        for block, rows, _ in _blocks(batches, text, False):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows.combine_chunks())
