@@ -67,7 +67,7 @@ def kmer_id(kmer: Column) -> Column:
 
 
 #: Bases cut at a time: finding a position walks a string from its start.
-STRETCH = 1024
+STRETCH = 128
 
 
 def bind(value: Column, body) -> Column:

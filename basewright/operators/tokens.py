@@ -36,8 +36,16 @@ def long_chunks(df: DataFrame, size: int = 10_000_000, min_length: int = 1, name
 
 
 def kmer_rows(df: DataFrame, k: int, with_n: bool = False) -> DataFrame:
-    """C11: one row per overlapping k-mer (file, record_idx, kmer), by default without those that hold N."""
-    rows = df.select("file", "record_idx", F.explode(dna.kmers(F.col("seq"), k)).alias("kmer"))
+    """C11: one row per overlapping k-mer (file, record_idx, kmer), by default without those that hold N.
+
+    Sequences are exploded into short overlapping stretches first: cutting at a
+    place walks the string up to it. Generators also keep the rest in compiled code.
+    """
+    size = 2 * dna.STRETCH
+    starts = F.sequence(F.lit(1), F.length("seq") - k + 1, F.lit(size))
+    parts = df.where(F.length("seq") >= k).select("file", "record_idx", F.explode(F.transform(starts, lambda i: F.substring("seq", i, F.lit(size + k - 1)))).alias("_p"))
+    spots = parts.select("file", "record_idx", "_p", F.explode(F.sequence(F.lit(1), F.length("_p") - k + 1)).alias("_i"))
+    rows = spots.select("file", "record_idx", F.substring("_p", F.col("_i"), F.lit(k)).alias("kmer"))
     return rows if with_n else rows.where(~F.col("kmer").contains("N"))
 
 
