@@ -92,7 +92,8 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[:-rest], key[rest:]) if rest else key
 
 
-def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers) -> Runs | None:
+def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers, places_only: bool = False) -> Runs | None:
+    """The runs of a text, None if it is shorter than a window; ``places_only`` leaves out their digests."""
     n = len(symbols)
     if n < length:
         return None
@@ -109,6 +110,8 @@ def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers) -> Runs |
         at[c : c + _CHUNK] = (_least(key, width) & mask).astype(np.int64) + c
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
     count = np.diff(np.append(first, windows))
+    if places_only:
+        return Runs(first, count, first, first, sums, down)
     half = (length - k + 1) // 2
     spot, stop = at[first], first + count - 1 + length
 
@@ -427,7 +430,7 @@ def covered(symbols: np.ndarray, k: int, length: int, powers: Powers, runs: list
     n = len(symbols)
     edge = np.zeros(n + 1, np.int64)
     if runs and n >= length:
-        r = runs_of(symbols, k, length, powers)
+        r = runs_of(symbols, k, length, powers, places_only=True)
         at = joined_spans(runs)
         np.add.at(edge, r.first[at], 1)
         np.add.at(edge, r.first[at] + r.count[at] - 1 + length, -1)
