@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basewright.operators import catalog, tokens
+from basewright.operators import catalog, corpus, tokens
 from basewright.operators.base import sequences, table
 from basewright.plans.registry import add
-from basewright.plans.shared_sql import SEQS
+from basewright.plans.shared_sql import SEQS, SEQS_R
 
 # Events as a run history: the user is the run, the event id the step, the value the loss.
 _RUNS = """runs AS (SELECT user_id AS run, event_id AS step, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS loss, event_id % 97 = 0 AS is_best_file, event_id % 89 = 0 AS is_latest_file, (json_extract_string(props, '$.k')::INT + 1)::BIGINT AS size FROM events)"""
@@ -150,3 +150,21 @@ def j17(spark, sf):
 def j18(spark, sf):
     rows = catalog.gate_telemetry(table(spark, sf, "events").withColumn("gate", F.col("value") / 100), "event_type", "gate")
     return rows.select("event_type", *[F.round(c, 8).alias(c) for c in ("mean", "std", "saturation")])
+
+
+_RC = "reverse(translate(piece, 'ACGTacgt', 'TGCAtgca'))"
+
+
+@add(
+    "j16_corpus_build",
+    f"""WITH RECURSIVE {SEQS_R}, g AS (SELECT file AS species, record_idx, regexp_split_to_array(seq, 'N+') AS a FROM seqs
+  WHERE length(seq) >= 100 AND (length(seq) - length(translate(seq, 'N', ''))) / length(seq)::DOUBLE <= 0.4 AND NOT regexp_matches(seq, '[^ACGTN]')),
+p AS (SELECT species, record_idx, unnest(a) AS piece, unnest(range(len(a))) AS i FROM g),
+h AS (SELECT species, record_idx * 1000000 + i * 1000 AS ord, length(piece) AS n, row_number() OVER (PARTITION BY species, sha256(least(piece, {_RC})) ORDER BY record_idx, i) AS d FROM p WHERE length(piece) >= 6),
+o AS (SELECT species, n, row_number() OVER (PARTITION BY species ORDER BY ord) AS i FROM h WHERE d = 1),
+f AS (SELECT species, n, i, CASE WHEN n <= 600 THEN n ELSE 0 END AS total, n <= 600 AS kept FROM o WHERE i = 1
+  UNION ALL SELECT o.species, o.n, o.i, CASE WHEN f.total + o.n <= 600 THEN f.total + o.n ELSE f.total END, f.total + o.n <= 600 FROM f JOIN o ON o.species = f.species AND o.i = f.i + 1)
+SELECT species, count(*) AS pieces, sum(n)::BIGINT AS bases, sum(n) >= 300 AS passed FROM f WHERE kept GROUP BY species""",
+)
+def j16(spark, sf):
+    return corpus.build_summary(corpus.accepted_pieces(sequences(spark, sf, keep_r=True), 100, 0.4, 6, 10_000_000, 600), 300)
