@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,3 +35,25 @@ def scratch(spark: SparkSession) -> str:
     if app not in _folders:
         _folders[app] = tempfile.mkdtemp(prefix="basewright-")
     return _folders[app]
+
+
+#: Ranges that a distributed running total cuts its order into.
+RANGES = 256
+
+
+def running_total(df: DataFrame, order: str, values: dict[str, str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with, by name, the total of a column over all rows up to and including this one in ``order`` (a number).
+
+    Ranges of about equal numbers of rows are summed first; a window then runs
+    inside each range and adds what came before, so no task sees all rows.
+    ``ties`` order equal values; without them equal values share a total.
+    """
+    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
+    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < F.col(order))))
+    sums = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_s_{n}") for n, c in values.items()])
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    starts = sums.select("_range", *[F.coalesce(F.sum(f"_s_{n}").over(over), F.lit(0)).alias(f"_b_{n}") for n in values])
+    inside = Window.partitionBy("_range").orderBy(order, *ties)
+    rows = rows.join(F.broadcast(starts), "_range")
+    return rows.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(inside) for n, c in values.items()}).drop("_range", *[f"_b_{n}" for n in values])

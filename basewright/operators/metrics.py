@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from basewright.operators.base import running_total
 
 EDGES = 10
 
@@ -55,19 +56,15 @@ def classification(df: DataFrame) -> DataFrame:
 
 
 def _score_levels(df: DataFrame) -> DataFrame:
-    """Counts of positives and negatives per distinct score, with those above and below.
-
-    Ranges of the score are summed first, so the windows below see one range each.
-    """
+    """Counts of positives and negatives per distinct score, with those of all scores not below it."""
     levels = df.groupBy("score").agg(F.sum("label").cast("double").alias("pos"), F.sum(1 - F.col("label")).cast("double").alias("neg"))
-    down = Window.orderBy(F.desc("score"))
-    return levels.withColumn("pos_upto", F.sum("pos").over(down)).withColumn("neg_upto", F.sum("neg").over(down))
+    return running_total(levels.withColumn("_down", -F.col("score")), "_down", {"pos_upto": "pos", "neg_upto": "neg"})
 
 
 def ranking(df: DataFrame) -> DataFrame:
     """H6: AUROC (ties count half) and average precision (step-wise); null unless both classes occur.
 
-    ``df``: score, label (0 or 1). The window runs over distinct scores.
+    ``df``: score, label (0 or 1).
     """
     rows = _score_levels(df)
     total = rows.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("neg") * (F.col("pos_upto") - F.col("pos") / 2)).alias("u"), F.sum(F.col("pos") * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto"))).alias("a"))
@@ -78,8 +75,8 @@ def ranking(df: DataFrame) -> DataFrame:
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """H9: 0-based ranks, ties averaged. Counted per distinct value, then joined."""
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.orderBy("_v")) - F.col("_n")
-    ranks = counts.select("_v", (below + (F.col("_n") - 1) / 2.0).alias(name))
+    below = F.col("_upto") - F.col("_n")
+    ranks = running_total(counts, "_v", {"_upto": "_n"}).select("_v", (below + (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(ranks, F.col(value) == F.col("_v")).drop("_v")
 
 

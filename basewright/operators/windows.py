@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basewright.functions import draw
+from basewright.operators.base import running_total
 
 
 def default_minimum(max_length: int) -> int:
@@ -101,10 +102,9 @@ def cap_of(file: Column, caps: dict[str, int], default: int) -> Column:
 def trim_eval(df: DataFrame, kept_windows: int, ratio: float, seed: int) -> DataFrame:
     """Eval records in drawn order until their windows reach ``kept * (1 - ratio) / ratio`` (at least one)."""
     target = max(1, round(kept_windows * (1 - ratio) / ratio))
-    w = Window.orderBy("_u", "file", "record_idx")
     rows = df.withColumn("_u", draw.uniform(seed, F.col("file"), F.col("record_idx")))
-    before = F.sum("wc").over(w) - F.col("wc")
-    return rows.withColumn("_b", before).where(F.col("_b") < target).drop("_b", "_u")
+    rows = running_total(rows, "_u", {"_upto": "wc"}, ("file", "record_idx"))
+    return rows.where(F.col("_upto") - F.col("wc") < target).drop("_upto", "_u")
 
 
 def head_tail_split(df: DataFrame, by: str, order: str, share: float = 0.8) -> DataFrame:

@@ -367,3 +367,17 @@ def test_stream_equals_batch(spark, sf):
     live = jobs.run_available(jobs.step_buckets(jobs.stream_table(spark, sf, "events"), "event_id", 100), "complete")
     still = jobs.step_buckets(spark.read.parquet(f"{sf}/events.parquet"), "event_id", 100)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, still.collect()))
+
+
+def test_running_total_over_ranges(spark):
+    from basewright.operators.base import running_total
+
+    rng = random.Random(2)
+    data = [(rng.randint(0, 900), i, rng.randint(1, 9)) for i in range(3000)]
+    got = {r.i: (r.own, r.shared) for r in running_total(running_total(rows(spark, data, "x int, i int, n int"), "x", {"own": "n"}, ("i",)), "x", {"shared": "n"}).collect()}
+    total, want = 0, {}
+    for x, i, n in sorted(data):
+        total += n
+        want[i] = (total, sum(m for y, _, m in data if y <= x)) if i % 50 == 0 else (total, None)
+    assert all(got[i][0] == w[0] and w[1] in (None, got[i][1]) for i, w in want.items())
+    assert running_total(rows(spark, [], "x int, i int, n int"), "x", {"own": "n"}).count() == 0
