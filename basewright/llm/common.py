@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +74,11 @@ def ascii_lower(text: Column) -> Column:
 def words_between(text: Column, gap: str) -> Column:
     """The non-empty pieces of ``text`` between matches of ``gap``; null: none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system: workers live on beside others' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import ID_ROWS, small, stored, table
+from basewright.llm.common import ID_ROWS, give_back, small, stored, table
 from basewright.llm.groups import link_buckets
 
 BANDS, ROWS, BITS = 26, 5, 2
@@ -113,6 +113,8 @@ def _per_text(df: DataFrame, one, schema: str) -> DataFrame:
                 part = batch.slice(at, 500)
                 rows = [state(x.as_py()) for x in part["text"].cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part["doc"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds[1:]))], names)
+        del state
+        give_back()
 
     return df.mapInArrow(run, schema)
 

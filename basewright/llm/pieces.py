@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from basewright.llm.common import let, table
+from basewright.llm.common import give_back, let, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -44,7 +44,7 @@ WORD = r"\n| *[^ \n]+| +"
 #: Added to the least score for each byte of a character without a piece.
 BYTE_PENALTY = -10.0
 #: Text bytes of a block of rows, and of a part of the words.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
 
 
 @dataclass
@@ -180,8 +180,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], text: str, cut: bool) -> Iterator
             if size > BLOCK_BYTES:
                 yield done()
                 held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
+                give_back()
     if held:
         yield done()
+    held, seen = [], set()
+    give_back()
 
 
 def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
@@ -229,6 +232,7 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = {w: np.array(i, "<i4").tobytes() for w, i in zip(right["word"].to_pylist(), right["ids"].to_pylist())}
+        give_back()
         found = [[ids[w] for w in words.split("\n")] for words in left["words"].to_pylist()]
         counts = [np.array([len(x) // 4 for x in f], "<i4").tobytes() for f in found]
         return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array([b"".join(f) for f in found], pa.binary())})
@@ -261,6 +265,8 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([f is None for f in found] + [False]))
             values = pa.array(np.frombuffer(b"".join(f for f in found if f), "<i4"))
             out.append(rows.append_column("ids", pa.ListArray.from_arrays(offsets, values)))
+            del known, found, words, texts, part
+            give_back()
         return pa.concat_tables(out) if out else pa.schema([]).empty_table()
 
     return _send_rows(df, text).groupBy("block").cogroup(answers.withColumnRenamed("block", "own_block").groupBy("own_block")).applyInArrow(apply, schema)
