@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows that a guarded broadcast may hold, and the bytes one of them may take.
 BROADCAST_ROWS = 50_000
 
+#: Bytes of one Arrow batch sent to Python.
+BATCH_BYTES = 8 << 20
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -76,6 +80,19 @@ def words_between(text: Column, gap: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), gap), lambda w: w != "")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``BATCH_BYTES``.
+
+    A batch is buffered outside the heap on its way to Python, twice while a
+    buffer grows; long texts fill the default of 64 MB in every running task.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)\s*([kmg]?)b?", conf.get(name).strip().lower())
+    if size and int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def give_back() -> None:
     """Return freed memory of this worker to the system: workers live on beside others' tasks."""
     pa.default_memory_pool().release_unused()

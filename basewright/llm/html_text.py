@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import table
+from basewright.llm.common import small_batches, table
 
 # Fixed values of the HTML standard: element kinds.
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -175,7 +175,7 @@ def extract_text(df: DataFrame, key: str = "page_id", url: str = "url", page: st
             yield pd.DataFrame({"_key": batch["_key"], "_url": batch["_url"], "text": text})
 
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(url).alias("_url"), F.col(page).alias("_page"))
-    out = rows.mapInPandas(run, "_key string, _url string, text string")
+    out = small_batches(rows).mapInPandas(run, "_key string, _url string, text string")
     kind = df.schema[key].dataType
     return out.select(F.col("_key").cast(kind).alias(key), F.col("_url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
 

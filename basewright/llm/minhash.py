@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import ID_ROWS, give_back, small, stored, table
+from basewright.llm.common import ID_ROWS, give_back, small, small_batches, stored, table
 from basewright.llm.groups import link_buckets
 
 BANDS, ROWS, BITS = 26, 5, 2
@@ -116,7 +116,7 @@ def _per_text(df: DataFrame, one, schema: str) -> DataFrame:
         del state
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -177,7 +177,7 @@ def fine_sketches(full: DataFrame) -> DataFrame:
             out = [bit_planes(minima(np.asarray(x, np.int64).view(np.uint64), a, b)) for x in (s.values.to_numpy() for s in batch["s"])]
             yield pa.RecordBatch.from_arrays([batch["v"], pa.array(out, pa.list_(pa.int64()))], ["v", "e"])
 
-    return full.mapInArrow(run, "v long, e array<long>")
+    return small_batches(full).mapInArrow(run, "v long, e array<long>")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from basewright.llm.common import give_back, let, table
+from basewright.llm.common import give_back, let, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -198,7 +198,7 @@ def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
                     blob = "\n".join(words[i] for i in order[edges[p] : edges[p + 1]])
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.int64()), pa.array([blob])], ["part", "block", "words"])
 
-    return df.select(text).mapInArrow(run, "part int, block long, words string")
+    return small_batches(df.select(text)).mapInArrow(run, "part int, block long, words string")
 
 
 def _send_rows(df: DataFrame, text: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _send_rows(df: DataFrame, text: str) -> DataFrame:
                 out.write_table(rows.combine_chunks())
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
 
-    return df.mapInArrow(run, "block long, data binary")
+    return small_batches(df).mapInArrow(run, "block long, data binary")
 
 
 def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basewright.llm.common import stored
+from basewright.llm.common import small_batches, stored
 
 _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D
@@ -211,7 +211,7 @@ def index_runs(df: DataFrame, symbols: Callable[[], Callable], k: int, length: i
                 if edges[p] < edges[p + 1]:
                     yield _packed(p, False, ids, base, picked[by[edges[p] : edges[p + 1]]], doc_of, run_of, anchors, digests)
 
-    return df.mapInArrow(run, INDEX)
+    return small_batches(df).mapInArrow(run, INDEX)
 
 
 def _packed(part, settled, ids, base, at, doc_of, run_of, anchors, digests) -> pa.RecordBatch:
@@ -339,7 +339,7 @@ def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length:
                     row = [pa.array([shard], pa.int32()), *(pa.array([c], pa.binary()) for c in (*cols, b"".join(x[4] for x in rows)))]
                     yield pa.RecordBatch.from_arrays(row, ["shard", "docs", "anchors", "firsts", "counts", "content"])
 
-    return df.mapInArrow(run, CONTENT)
+    return small_batches(df).mapInArrow(run, CONTENT)
 
 
 def _shard_arrays(table: pa.Table):

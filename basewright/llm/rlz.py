@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import table
+from basewright.llm.common import small_batches, table
 from basewright.llm.repeats import Powers, _groups, covered, repeated_windows
 
 LENGTH, GRAM = 35, 8
@@ -80,7 +80,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 cols = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64())), pa.array([r[3] for r in out], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part["doc"], *cols], ["doc", "n_words", "n_removed", "edges", "kept"])
 
-    out = found.mapInArrow(cut, "doc long, n_words long, n_removed long, edges array<long>, kept binary")
+    out = small_batches(found).mapInArrow(cut, "doc long, n_words long, n_removed long, edges array<long>, kept binary")
     spans = F.transform(F.sequence(F.lit(0), F.floor(F.size("edges") / 2).cast("int") - 1), lambda i: F.struct(F.get("edges", 2 * i).alias("start"), F.get("edges", 2 * i + 1).alias("stop")))
     spans = F.when(F.size("edges") > 0, spans).otherwise(F.array().cast("array<struct<start:bigint,stop:bigint>>"))
     return out.select(F.col("doc").alias(key), "n_words", "n_removed", spans.alias("spans"), F.decode("kept", "UTF-8").alias("kept"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import table
+from basewright.llm.common import small_batches, table
 from basewright.llm.repeats import Powers, covered, mix, repeated_windows
 
 LENGTH, GRAM = 50, 20
@@ -176,7 +176,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([part["doc"], *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "edges", "kept", "kept_sha256"])
 
-    return found.mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, edges array<long>, kept binary, kept_sha256 string").withColumnRenamed("doc", key)
+    return small_batches(found).mapInArrow(cut, "doc long, n_bytes long, n_removed long, n_spans long, edges array<long>, kept binary, kept_sha256 string").withColumnRenamed("doc", key)
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basewright.llm.common import shared_dir, small, stored, table
+from basewright.llm.common import shared_dir, small, small_batches, stored, table
 
 VERSION = b"WARC/1.1\r\n"
 #: Any version line may open a record.
@@ -218,7 +218,7 @@ def _read(spark: SparkSession, path: str, gaps: bool) -> DataFrame:
                 yield _frame(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, gap_start long, gap_end long" if gaps else RECORDS)
+    return small_batches(files).mapInPandas(parse, "path string, gap_start long, gap_end long" if gaps else RECORDS)
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
