@@ -37,7 +37,7 @@ HASHES = BANDS * ROWS
 #: Hash functions of the finer sketch that crowded buckets get.
 FINE = 2048
 #: Words that a task keeps digests of.
-CACHE = 1_000_000
+CACHE = 300_000
 SIGNATURES = "doc long, n_shingles long, set_hi long, set_lo long, bands array<long>, planes array<long>"
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

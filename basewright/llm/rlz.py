@@ -29,7 +29,7 @@ from basewright.llm.repeats import Powers, _groups, covered, repeated_windows
 
 LENGTH, GRAM = 35, 8
 #: Word digests that a task keeps.
-CACHE = 1_000_000
+CACHE = 300_000
 
 
 class _Words(dict):
