@@ -322,6 +322,54 @@ def test_fuzzy_lines_are_grouped(spark):
     assert got[1].n_removed == 0 and got[2].n_removed == 1 and got[2].text == "" and got[3].n_removed == 0 and got[None].n_removed == 0
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def fuzzy_lines(rng, often):
+    """Lines of 5 to 60 words and changed copies of them at and around similarity 0.8."""
+    word = lambda: rng.choice(often) if rng.random() < 0.5 else f"w{rng.randrange(5000)}"
+    out = []
+    for n in [5, 6, 7, 8, 9, 10, 12, 15, 20, 25, 30, 40, 50, 60] * 6:
+        base = [word() for _ in range(n)]
+        out.append(base)
+        for k in (n // 5, n // 5, n // 5 + 1):
+            copy = list(base)
+            for _ in range(k):
+                at = rng.randrange(len(copy))
+                copy[at : at + 1] = rng.choice(([word()], [word()], [], [copy[at], word()]))
+            out.append(copy)
+    rng.shuffle(out)
+    return [x for x in out if len(x) >= lines.MIN_WORDS]
+
+
+@pytest.mark.parametrize("bucket", [lines.BUCKET, 1])
+def test_fuzzy_lines_match_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(lines, "BUCKET", bucket)  # 1: keys of two and three words
+    made = fuzzy_lines(random.Random(5), [f"c{i}" for i in range(30)])
+    root = list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i, j in itertools.combinations(range(len(made)), 2):
+        longer, shorter = max(len(made[i]), len(made[j])), min(len(made[i]), len(made[j]))
+        if 5 * shorter >= 4 * longer and 5 * edits(made[i], made[j]) <= longer:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+            linked += 1
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(made)], "doc_id long, text string")
+    got = {r.doc_id for r in lines.dedup_lines(df).where("n_removed = 1").collect()}
+    assert linked > 150 and got == {i for i in range(len(made)) if find(i) != i}
+
+
 # decontamination
 
 
