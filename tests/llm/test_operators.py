@@ -370,6 +370,13 @@ def test_fuzzy_lines_match_brute_force(spark, monkeypatch, bucket):
     assert linked > 150 and got == {i for i in range(len(made)) if find(i) != i}
 
 
+def test_short_lines_go_if_equal(spark):
+    data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(df, short=True).collect()}
+    assert got == {1: ("les.\n\nA b", 1), 2: ("other\n", 1), 3: ("les. x\n", 1), 4: ("one two three four", 0), 5: ("one two three five", 1)}
+
+
 # decontamination
 
 
