@@ -29,8 +29,11 @@ SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 200
 #: Share of a group that a concentration step keeps, and the number of steps.
 CORE, STEPS = 0.75, 3
-#: Least standard deviation of each coordinate, in units of the vector.
-SPREAD = (0.5, 0.1, 0.08, 0.25, 0.15)
+#: Least standard deviation of each coordinate, in units of the vector. Where a group has
+#: no more, 40 % repeated lines or 33 % repeated words alone reach the cutoff.
+SPREAD = (0.5, 0.1, 0.08, 0.1, 0.09)
+#: Share of the covariances that is kept, so that coordinates that move together have an inverse.
+JOINT = 0.99
 #: Medians of the chi-square law by degrees of freedom (fixed values).
 CHI2_MEDIAN = {1: 0.4549, 2: 1.3863, 3: 2.3660, 4: 3.3567, 5: 4.3515}
 #: Squared distance beyond which a document is rejected. The normal law would
@@ -161,8 +164,9 @@ def covariance_determinant(rows: DataFrame, group: str = "grp") -> DataFrame:
             F.count("*").alias("n"), *[F.sum(x[i]).alias(f"t_{i}") for i in dims], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in dims for j in dims if i <= j]
         )
         unit = float(SCALE * SCALE)
-        cov = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")) / F.col("n") / unit + (SPREAD[i] ** 2 if i == j else 0.0)
-        model = sums.select(group, *[(F.col(f"t_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in dims], *[cov(i, j).alias(f"s_{i}_{j}") for i in dims for j in dims if i <= j])
+        cov = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")) / F.col("n") / unit
+        shape = lambda i, j, cov=cov: F.greatest(cov(i, j), F.lit(SPREAD[i] ** 2)) if i == j else JOINT * cov(i, j)
+        model = sums.select(group, *[(F.col(f"t_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in dims], *[shape(i, j).alias(f"s_{i}_{j}") for i in dims for j in dims if i <= j])
         model = _inverse(model)
     model = stored(model, "model")
     half = _quantile(rows.join(small(model), group).withColumn("level", _level(_distance())), [group], "level", 0.5, "half")

@@ -481,6 +481,23 @@ def test_outliers_go_and_others_stay(spark):
     assert all(r.kept == (r.doc_id % 20 != 0) for r in rows)
 
 
+def test_repetition_alone_is_rejected(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    data = [(i, "\n".join(line(10) for _ in range(rng.randint(6, 30)))) for i in range(400)]
+    same = line(2)  # lines of two words repeat no window of three words
+    data.append((1000, "\n".join(x for _ in range(20) for x in (line(10), same))))
+    passage = line(40)
+    data.append((1001, "\n".join([passage, passage + " end", *[line(10) for _ in range(11)]])))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in data], "doc_id long, text string, lang string, source string")
+    rows = quality.quality_verdicts(df).collect()
+    got = {r.doc_id: r for r in rows}
+    assert not got[1000].base_failed and got[1000].n_repeat_words == 0 and got[1000].n_dup_lines == 19
+    assert not got[1001].base_failed and got[1001].n_dup_lines == 0 and got[1001].n_repeat_words == 80
+    assert {r.doc_id for r in rows if not r.kept} == {1000, 1001}
+
+
 # pipeline
 
 
