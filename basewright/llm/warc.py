@@ -7,9 +7,9 @@ the other records are revisits.
 
 Reading: a parser walks each archive. Every record must start with a version
 line, have a sane header and length, end in CRLF CRLF and match its digest.
-After a failed check it looks for the next version line (or, in a compressed
-archive, the next gzip member that inflates), goes on there, and logs the
-skipped bytes as a quarantined gap.
+After a failed check it looks for the next version line or gzip member that
+inflates, whichever comes first and whatever the file began with, goes on
+there, and logs the skipped bytes as a quarantined gap.
 
 Edge cases: null html is an empty payload; a null url leaves out the target
 header; line breaks in a url are percent-encoded; null page ids are allowed
@@ -160,32 +160,41 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), at - len(z.unused_data)) if z.eof else None
 
 
-def _members(data: bytes) -> Iterator[tuple[str, object]]:
-    at, bad = 0, None
+def salvage(data: bytes) -> Iterator[tuple[str, object]]:
+    """("record", dict) and ("gap", (start, end)) for the bytes of one archive.
+
+    Wherever a check fails, what comes next of a version line and a gzip member that inflates is tried.
+    """
+    at, bad, version, member = 0, None, -1, -1
     while at < len(data):
-        member = _inflate(data, at) if data.startswith(_MEMBER, at) else None
-        if member is None:
-            bad = at if bad is None else bad
-            at = data.find(_MEMBER, at + 1)
-            at = at if at >= 0 else len(data)
+        found, stop = [], at
+        if data.startswith(_MEMBER, at):
+            if inflated := _inflate(data, at):
+                found, stop = list(_plain(inflated[0])), inflated[1]
+        elif one := _one(data, at):
+            found, stop = [("record", one[0])], one[1]
+        records = [x for x in found if x[0] == "record"]
+        if records:
+            if bad is not None:
+                yield "gap", (bad, at)
+                bad = None
+            yield from records
+            if len(records) < len(found):  # damage inside: the whole member is suspect
+                yield "gap", (at, stop)
+            at = stop
             continue
-        if bad is not None:
-            yield "gap", (bad, at)
-            bad = None
-        found = list(_plain(member[0]))
-        yield from (x for x in found if x[0] == "record")
-        if any(kind == "gap" for kind, _ in found):  # damage inside: the whole member is suspect
-            yield "gap", (at, member[1])
-        at = member[1]
+        bad = at if bad is None else bad
+        if version <= at:
+            m = _START.search(data, at + 1)
+            version = m.start() if m else len(data)
+        if member <= at:
+            member = data.find(_MEMBER, at + 1)
+            member = member if member >= 0 else len(data)
+        at = min(version, member)
     if bad is not None:
         yield "gap", (bad, len(data))
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, object]]:
-    """("record", dict) and ("gap", (start, end)) for the bytes of one archive."""
-    return _members(data) if data.startswith(_MEMBER) else _plain(data)
-
-
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The valid records of all archive files under ``path``."""
     return _read(spark, path, False)

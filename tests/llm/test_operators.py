@@ -455,6 +455,24 @@ def test_salvage_of_damaged_archives(spark):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"noise")) == [("gap", (0, 5))]
 
 
+def test_salvage_after_damaged_first_bytes():
+    body = b"<p>x</p>"
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    raw = [(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n" for i in range(5)]
+    ids = lambda data: [x["page_id"] for k, x in warc.salvage(data) if k == "record"]
+    gaps = lambda data: [x for k, x in warc.salvage(data) if k == "gap"]
+    first = len(warc.pack_members(raw[:1]))
+    for at in (0, 1, 2, 3, 12):
+        packed = bytearray(warc.pack_members(raw))
+        packed[at] ^= 0xFF
+        assert ids(bytes(packed)) == [1, 2, 3, 4] and gaps(bytes(packed)) == [(0, first)]
+    plain = bytearray(b"".join(raw))
+    plain[:3] = b"\x1f\x8b\x08"  # a plain archive that begins like a member
+    assert ids(bytes(plain)) == [1, 2, 3, 4] and gaps(bytes(plain)) == [(0, len(raw[0]))]
+    mixed = b"".join(raw[:2]) + b"junk" + warc.pack_members(raw[2:])
+    assert ids(mixed) == [0, 1, 2, 3, 4] and gaps(mixed) == [(len(b"".join(raw[:2])), len(b"".join(raw[:2])) + 4)]
+
+
 # quality
 
 
