@@ -1,8 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Substring dedup by factors cut at minimizer anchors, against indexed reference blocks.
 
 All texts are reference blocks. Their factors, runs of windows that share an
-anchor, go into a distributed index (see repeats.py). A document is parsed
-greedily: each of its factors is looked up whole, and a factor that another
+anchor, go into a distributed index (see repeats.py). This stands in for a
+greedy relative Lempel-Ziv parse: no longest match is sought from a position.
+Each factor of a document is looked up whole, and a factor that another
 place has becomes part of a duplicate span at once, neighbouring ones growing
 into one long copy. Around the boundaries, where an indexed factor with the
 same anchor differs, the windows are checked one by one against every
