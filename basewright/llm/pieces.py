@@ -1,36 +1,46 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 The pieces and scores of a model file form a table. A text is cut into words
-(spaces and what follows them; line feeds stand alone), which no piece
-crosses. Distinct words are exploded into their substrings of bounded length,
-joined to the piece table on the substring, and grouped by word again: the
-edges of its lattice. A fold over the end positions keeps the best score to
-each (Viterbi, by higher-order functions); walking the back pointers gives the
-ids. Characters without a piece become byte pieces. Of equal scores the longer
-last piece wins.
+(spaces and what follows them; line feeds stand alone), and these further
+between any two characters that stand together in no piece: no piece crosses
+such a cut, so the best paths of the parts make up that of the text. Distinct
+parts ("words" from here on) are exploded into their substrings of bounded
+length, joined to the piece table on the substring, and grouped by word again:
+the edges of its lattice, packed in longs. A fold over the edges keeps the best
+score to each end (Viterbi, by higher-order functions); walking the back
+pointers gives the ids. Characters without a piece become byte pieces. Of equal
+scores the longer last piece wins.
+
+A word of more than ``LONG`` characters would make one array of all its edges,
+which the fold copies in each step; such words take the same recurrence in
+Python, where they are cut, in linear time.
 
 The scores are taken as additive weights also for a model whose own encoder
 merges pairs; ids then decode to the same text, but may cut words elsewhere
 than pair merging would.
 
 Edge cases: null text has null ids; an empty text has none; ids of all
-texts decode to the text again; an empty table gives
-an empty result; extra columns are carried along.
+texts decode to the text again; texts without spaces and of any length are
+encoded whole; an empty table gives an empty result; repeated rows repeat their
+ids; extra columns are carried along, but for one named ``ids``, which the
+result replaces.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -45,6 +55,10 @@ WORD = r"\n| *[^ \n]+| +"
 BYTE_PENALTY = -10.0
 #: Text bytes of a block of rows, and of a part of the words.
 BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Characters up to which a word goes through the relational lattice.
+LONG = 256
+#: Bits of a packed edge below its end, and below its start.
+_STOP, _START = 40, 20
 
 
 @dataclass
@@ -54,6 +68,12 @@ class Model:
     hexes: list[str]
     longest: int
     byte_score: float
+    #: Scores by id; behind the ids those of a character of 0, 1, … bytes without a piece.
+    scores: list[float]
+    #: Pairs of characters that some piece has.
+    pairs: set[str]
+    #: The id of each piece, with plain spaces.
+    ids: dict[str, int]
 
 
 @cache
@@ -74,64 +94,104 @@ def load_model(path: str = MODEL) -> Model:
             hexes.append(piece.replace(SPACE, " ").encode().hex().upper())
     if bytes_at is None:
         raise ValueError("the model has no byte pieces")
-    return Model(pieces, bytes_at, hexes, max(len(p) for p, _, _ in pieces), min(s for _, _, s in pieces) + BYTE_PENALTY)
+    byte_score = min(s for _, _, s in pieces) + BYTE_PENALTY
+    scores = [0.0] * n + [k * byte_score for k in range(5)]
+    for _, i, s in pieces:
+        scores[i] = s
+    plain = [p.replace(SPACE, " ") for p, _, _ in pieces]
+    pairs = {a + b for p in plain for a, b in zip(p, p[1:])}
+    return Model(pieces, bytes_at, hexes, max(map(len, plain)), byte_score, scores, pairs, {p: i for p, (_, i, _) in zip(plain, pieces)})
 
 
 def _lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(part, word, seen) to part, word, seen, edges: every piece that fits, as structs (stop, start, score, id), in that order.
+    """(part, word, seen) to part, word, seen, edges: every piece that fits, as packed longs in order of (stop, start).
 
-    A character without a piece has an edge with the id -1. The rows stay where ``part`` put them.
+    The lowest bits are the id, or the number of ids and the bytes of a character without a piece.
+    The rows stay where ``part`` put them.
     """
     # as long as the vocabulary, whatever the corpus
-    pieces = F.broadcast(words.sparkSession.createDataFrame(model.pieces, "piece string, id int, score double"))
-    marked = F.translate("word", " ", SPACE)
-    at = words.select("part", "word", "seen", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    cut = at.select("part", "word", "seen", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
-    cut = cut.select("part", "word", "seen", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
+    pieces = F.broadcast(words.sparkSession.createDataFrame([(p, i) for p, i, _ in model.pieces], "piece string, id int"))
+    numbered = words.select("part", F.monotonically_increasing_id().alias("nr"), "word", "seen", F.translate("word", " ", SPACE).alias("w"))
+    at = numbered.select("part", "nr", "word", "seen", "w", F.explode(F.sequence(F.lit(1), F.length("w"))).alias("start"))
+    cut = at.select("part", "nr", "word", "seen", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), F.length("w") - F.col("start") + 1))).alias("len"))
+    cut = cut.select("part", "nr", "word", "seen", "start", "len", F.substring("w", F.col("start"), F.col("len")).alias("piece"))
     fit = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    spare = F.octet_length(F.translate("piece", SPACE, " ")) * model.byte_score
-    edge = F.struct((F.col("start") + F.col("len") - 1).alias("stop"), (F.col("start") - 1).alias("start"), F.coalesce("score", spare).alias("score"), F.coalesce("id", F.lit(-1)).alias("id"))
-    return fit.groupBy("part", "word").agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.first("seen").alias("seen"))
+    spare = F.octet_length(F.translate("piece", SPACE, " ")) + len(model.hexes)
+    edge = (F.col("start") + F.col("len") - 1).cast("long") * (1 << _STOP) + (F.col("start") - 1).cast("long") * (1 << _START) + F.coalesce("id", spare)
+    # the number comes first: rows are sorted in place by their first key
+    return fit.groupBy("nr", "part", "word", "seen").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
-def _viterbi(edges: Column) -> Column:
-    """The best path as an array of structs (score, start, id), by end position; entry 0 is the origin."""
-    origin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("start"), F.lit(-1).alias("id")))
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, _START).bitwiseAND((1 << _STOP - _START) - 1).cast("int")
 
-    def step(best: Column, e: Column) -> Column:
-        last = F.size(best) - 1
-        way = F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"), e["start"].alias("start"), e["id"].alias("id"))
+
+def _id(edge: Column) -> Column:
+    return edge.bitwiseAND((1 << _START) - 1).cast("int")
+
+
+def _viterbi(edges: Column, model: Model) -> Column:
+    """The last edge of the best path to each end position, from 0, where it is 0."""
+    scores = F.from_json(F.lit(json.dumps(model.scores)), "array<double>")
+    zero = F.struct(F.array().cast("array<double>").alias("score"), F.array().cast("array<bigint>").alias("edge"), F.lit(0.0).alias("best"), F.lit(0).cast("long").alias("by"))
+
+    def step(a: Column, e: Column) -> Column:
+        state = lambda score, edge, best, by: F.struct(score.alias("score"), edge.alias("edge"), best.alias("best"), by.alias("by"))
+        way = lambda score: F.get(score, _start(e)) + F.get(scores, _id(e))
+        closed = F.array_append(a["score"], a["best"])
         # edges to one end come by start: the longest first, which keeps a tie
-        return F.when(e["stop"] > last, F.concat(best, F.array(way))).when(way["score"] > F.get(best, last)["score"], F.concat(F.slice(best, 1, last), F.array(way))).otherwise(best)
+        same = F.when(way(a["score"]) > a["best"], state(a["score"], a["edge"], way(a["score"]), e)).otherwise(a)
+        return F.when(F.shiftright(e, _STOP) == F.shiftright(a["by"], _STOP), same).otherwise(state(closed, F.array_append(a["edge"], a["by"]), way(closed), e))
 
-    return F.aggregate(edges, origin, step)
+    return F.aggregate(edges, zero, step, lambda a: F.array_append(a["edge"], a["by"]))
 
 
 def _path(best: Column) -> Column:
-    """Walk back from the end: structs (start, id) in order."""
+    """Walk back from the end: the edges in order."""
     end = F.size(best) - 1
-    zero = F.struct(end.alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("path"))
+    zero = F.struct(end.alias("at"), F.array().cast("array<bigint>").alias("path"))
 
     def step(a: Column, i: Column) -> Column:
         here = F.get(best, i)
-        one = F.array(F.struct(here["start"].alias("start"), here["id"].alias("id")))
-        return F.when(i == a["at"], F.struct(here["start"].alias("at"), F.concat(one, a["path"]).alias("path"))).otherwise(a)
+        return F.when(i == a["at"], F.struct(_start(here).alias("at"), F.concat(F.array(here), a["path"]).alias("path"))).otherwise(a)
 
     return F.aggregate(F.sequence(end, F.lit(1), F.lit(-1)), zero, step)["path"]
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """Distinct (part, word) with ``seen`` to part, word, seen, ids."""
-    paths = _lattice(words, model).select("part", "word", "seen", let(_viterbi(F.col("edges")), _path).alias("path"))
+    paths = _lattice(words, model).select("part", "word", "seen", let(_viterbi(F.col("edges"), model), _path).alias("path"))
 
-    def byte_ids(x: Column) -> Column:
-        raw = F.hex(F.encode(F.substring("word", x["start"] + 1, F.lit(1)), "UTF-8"))
+    def byte_ids(edge: Column) -> Column:
+        raw = F.hex(F.encode(F.substring("word", _start(edge) + 1, F.lit(1)), "UTF-8"))
         spots = F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2))
         return F.transform(spots, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int") + model.bytes_at)
 
-    plain = F.transform("path", lambda x: x["id"])
-    spelled = F.flatten(F.transform("path", lambda x: F.when(x["id"] >= 0, F.array(x["id"])).otherwise(byte_ids(x))))
-    return paths.select("part", "word", "seen", F.when(F.array_contains(plain, -1), spelled).otherwise(plain).alias("ids"))
+    known = len(model.hexes)
+    spelled = F.flatten(F.transform("path", lambda e: F.when(_id(e) < known, F.array(_id(e))).otherwise(byte_ids(e))))
+    return paths.select("part", "word", "seen", F.when(F.exists("path", lambda e: _id(e) >= known), spelled).otherwise(F.transform("path", _id)).alias("ids"))
+
+
+def long_word_ids(word: str, model: Model) -> list[int]:
+    """The ids of one word by the same recurrence, in time linear in its length."""
+    known = model.ids
+    score, last, spare = [0.0], [(0, 0)], len(model.hexes)
+    for stop in range(1, len(word) + 1):
+        best = by = None
+        for start in range(max(0, stop - model.longest), stop):
+            i = known.get(word[start:stop])
+            if i is None and start == stop - 1:
+                i = spare + len(word[start].encode())
+            if i is not None and (best is None or score[start] + model.scores[i] > best):
+                best, by = score[start] + model.scores[i], (start, i)
+        score.append(best)
+        last.append(by)
+    out, at = [], len(word)
+    while at:
+        start, i = last[at]
+        out += [i] if i < spare else [model.bytes_at + b for b in reversed(word[start:at].encode())]
+        at = start
+    return out[::-1]
 
 
 _SPLIT = re.compile(WORD)
@@ -153,123 +213,167 @@ def words_of(text: str) -> list[str]:
     return out
 
 
-def _part(words: list[str], parts: int) -> np.ndarray:
-    return np.array([zlib.crc32(w.encode()) for w in words], np.int64) * parts >> 32
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], text: str, cut: bool) -> Iterator[tuple[int, pa.Table, list[str]]]:
-    """Rows of some megabytes of text, a digest of them, and, if asked to cut them, their distinct words in order, without the line feed."""
-    held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
-
-    def done():
-        return int.from_bytes(digest.digest(), "little", signed=True), pa.Table.from_batches(held), sorted(seen - {"\n"})
-
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            for t in part[text].to_pylist():
-                if t is not None:
-                    if cut:
-                        seen.update(words_of(t))
-                    raw = t.encode()
-                    digest.update(len(raw).to_bytes(8, "little") + raw)
-                    size += len(raw)
-                else:
-                    digest.update(b"null")
-            held.append(part)
-            if size > BLOCK_BYTES:
-                yield done()
-                held, size, seen, digest = [], 0, set(), blake2b(digest_size=8)
-                give_back()
-    if held:
-        yield done()
-    held, seen = [], set()
-    give_back()
-
-
-def _send_words(df: DataFrame, text: str, parts: int) -> DataFrame:
-    def run(batches):
-        for block, _, words in _blocks(batches, text, True):
-            part = _part(words, parts)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                if edges[p] < edges[p + 1]:
-                    blob = "\n".join(words[i] for i in order[edges[p] : edges[p + 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([block], pa.int64()), pa.array([blob])], ["part", "block", "words"])
+#: Marks a cut inside a word; no text has it.
+_CUT = "\ud800"
+
+
+class Cutter:
+    """Cuts words where no piece can cross."""
+
+    def __init__(self, pairs: set[str]) -> None:
+        chars = sorted({c for p in pairs for c in p})
+        self.top, at = ord(chars[-1]) + 1, {c: i + 1 for i, c in enumerate(chars)}
+        self.number = np.zeros(self.top + 1, np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.crossed = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in pairs:
+            self.crossed[at[a], at[b]] = True
+
+    def __call__(self, words: list[str]) -> list[list[str]]:
+        """The parts of each word; no word has a line feed."""
+        if not words:
+            return []
+        codes = np.frombuffer("\n".join(words).encode("utf-32-le"), "<u4")
+        number = self.number[np.minimum(codes, self.top)]
+        feed = codes == 10
+        cut = ~self.crossed[number[:-1], number[1:]] & ~feed[:-1] & ~feed[1:]
+        marked = np.insert(codes, np.flatnonzero(cut) + 1, ord(_CUT))
+        return [w.split(_CUT) for w in marked.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("\n")]
 
-    return small_batches(df.select(text)).mapInArrow(run, "part int, block long, words string")
 
+def _block_words(texts: list[str | None], cutter: Cutter, parts: int) -> tuple[dict[str, list[str]], list[str], np.ndarray]:
+    """The parts of each distinct word but the line feed; all distinct parts of up to LONG characters, by the number of their shuffle part, and these numbers."""
+    seen = list({w for t in texts if t for w in words_of(t)} - {"\n"})
+    whole = dict(zip(seen, cutter(seen)))
+    found = sorted({x for p in whole.values() for x in p if len(x) <= LONG})
+    number = np.array([zlib.crc32(w.encode()) for w in found], np.int64) * parts >> 32
+    order = np.argsort(number, kind="stable")
+    return whole, [found[i] for i in order], number[order]
+
+
+_SENT = ["part", "block", "words", "data"]
+
+
+def _send(df: DataFrame, text: str, parts: int, model: Model) -> DataFrame:
+    """For each block of rows: its distinct words by part, and, under a part of its own, the rows themselves.
+
+    Blocks end at row boundaries that depend on the rows alone, and are numbered within the scan's partition.
+    """
+    cutter = Cutter(model.pairs)
 
-def _send_rows(df: DataFrame, text: str) -> DataFrame:
     def run(batches):
-        for block, rows, _ in _blocks(batches, text, False):
+        held, size, number = [], 0, TaskContext.get().partitionId() << 24
+
+        def done():
+            rows = pa.Table.from_batches(held)
+            texts = [t for batch in held for t in batch[text].to_pylist()]
+            _, words, part = _block_words(texts, cutter, parts)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            block = parts + number
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows.combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "data"])
+            filled = [p for p in range(parts) if edges[p] < edges[p + 1]]
+            for at in range(0, len(filled), 64):
+                some = filled[at : at + 64]
+                blobs = ["\n".join(words[edges[p] : edges[p + 1]]) for p in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs), pa.nulls(len(some), pa.binary())], _SENT)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], _SENT)
+
+        for batch in batches:
+            bytes_ = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
+            at = 0
+            for i, n in enumerate(bytes_.tolist()):
+                size += n
+                if size > BLOCK_BYTES:
+                    held.append(batch.slice(at, i + 1 - at))
+                    yield from done()
+                    held, size, number, at = [], 0, number + 1, i + 1
+                    give_back()
+            if at < batch.num_rows:
+                held.append(batch.slice(at))
+        if held:
+            yield from done()
+        held = []
+        give_back()
+
+    return small_batches(df).mapInArrow(run, "part long, block long, words string, data binary")
+
 
-    return small_batches(df).mapInArrow(run, "block long, data binary")
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
 def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFrame:
     """``df`` (a stored table) with ``ids`` (array<int>).
 
-    Rows travel in blocks of some megabytes, compressed; a block's distinct
-    words go to the part of their checksum, meet the words of other blocks
-    there, and the ids come back to the block. So a word is shuffled once a
-    block, not once an occurrence. Both scans of ``df`` must cut the same
-    blocks; a digest of the texts makes sure.
+    One scan cuts the rows into blocks of some megabytes. One shuffle carries
+    each block, compressed, and its distinct words, which go to the part of
+    their checksum, meet the words of other blocks there, and send their ids
+    back to the block. So a word travels once a block, not once an occurrence.
     """
     model, spark = load_model(model_path), df.sparkSession
+    df = df.drop("ids")
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(96, size // PART_BYTES)
-    # a fixed number of partitions: a word grows to dozens of edges, which sizes measured before don't tell
-    sent = _send_words(df, text, parts).repartition(parts, "part")
-    # ``seen`` keeps both uses of ``sent`` alike, so that one shuffle serves both
-    distinct = sent.select("part", "block", F.explode(F.split("words", "\n")).alias("word")).groupBy("part", "word").agg(F.min("block").alias("seen"))
+    # a fixed number of partitions: a word grows to dozens of edges, which sizes measured before don't tell.
+    # All three uses of ``sent`` take all its columns, so that one shuffle serves them
+    sent = _send(df, text, parts, model).repartition(parts, "part")
+    words = F.explode(F.when(F.col("data").isNull(), F.split("words", "\n"))).alias("word")
+    distinct = sent.select("part", "block", words).groupBy("part", "word").agg(F.min("block").alias("seen"))
     known = encode_words(distinct, model).select(F.col("part").alias("own_part"), "word", "ids", "seen")
+    narrow = np.dtype("<u2" if len(model.hexes) <= 1 << 16 else "<i4")
+    # long words are rare: a task unpacks the model only if it meets one
+    cutter, packed = Cutter(model.pairs), pickle.dumps(model)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = {w: np.array(i, "<i4").tobytes() for w, i in zip(right["word"].to_pylist(), right["ids"].to_pylist())}
+        left = left.filter(pc.is_null(left["data"]))
+        ids = right["ids"].combine_chunks()
+        offsets = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
+        flat, number = ids.values.to_numpy().astype(narrow) if len(ids) else np.empty(0, narrow), {w: i for i, w in enumerate(right["word"].to_pylist())}
+        counts, out = [], []
+        for blob in left["words"].to_pylist():
+            at = np.array([number[w] for w in blob.split("\n")])
+            sizes = np.diff(offsets)[at]
+            counts.append(sizes.astype("<u2").tobytes())
+            out.append(_gathered(flat, offsets[at], sizes).tobytes())
         give_back()
-        found = [[ids[w] for w in words.split("\n")] for words in left["words"].to_pylist()]
-        counts = [np.array([len(x) // 4 for x in f], "<i4").tobytes() for f in found]
-        return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array([b"".join(f) for f in found], pa.binary())})
+        return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(out, pa.binary())})
 
-    answers = sent.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part int, counts binary, ids binary")
+    answers = sent.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part long, counts binary, ids binary")
     line_feed = next((i for p, i, _ in model.pieces if p == "\n"), model.bytes_at + 10)
     schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_part = {p: (c, i) for p, c, i in zip(*(right[n].to_pylist() for n in ("part", "counts", "ids")))}
+        by_part = {p: (c, i) for p, c, i in zip(*(right[n].to_pylist() for n in ("own_part", "counts", "ids")))}
         out = []
         for data in left["data"].to_pylist():
+            if data is None:
+                continue
             rows = pa.ipc.open_stream(data).read_all()
             texts = rows[text].to_pylist()
-            words = sorted({w for t in texts if t is not None for w in words_of(t)} - {"\n"})
-            part = _part(words, parts)
-            known = {"\n": np.array([line_feed], "<i4").tobytes()}
-            for p in np.unique(part):
-                counts, ids = by_part[p]
-                stops = np.cumsum(np.frombuffer(counts, "<i4")) * 4
-                mine = np.flatnonzero(part == p)
-                if len(mine) != len(stops):
-                    raise ValueError("the scans of the documents cut different blocks; store them first")
-                at = 0
-                for w, stop in zip(mine, stops):
-                    known[words[w]] = ids[at:stop]
-                    at = stop
+            whole, words, part = _block_words(texts, cutter, parts)
+            used = np.unique(part).tolist()
+            sizes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(by_part[p][0], "<u2") for p in used)]).astype(np.int64)
+            if len(sizes) != len(words):
+                raise ValueError("the rows of a block have changed since its words were sent")
+            flat = np.concatenate([np.empty(0, narrow), *(np.frombuffer(by_part[p][1], narrow) for p in used)]).astype("<i4").tobytes()
+            stops = (np.cumsum(sizes) * 4).tolist()
+            piece = {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops)}
+            spelled = lambda x: np.array(long_word_ids(x, pickle.loads(packed)), "<i4").tobytes()
+            known = {w: piece[p[0]] if len(p) == 1 and p[0] in piece else b"".join(piece[x] if x in piece else spelled(x) for x in p) for w, p in whole.items()}
+            known["\n"] = np.array([line_feed], "<i4").tobytes()
             found = [None if t is None else b"" if t == "" else b"".join(map(known.__getitem__, words_of(t))) for t in texts]
             lengths = np.array([0 if f is None else len(f) // 4 for f in found])
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([f is None for f in found] + [False]))
             values = pa.array(np.frombuffer(b"".join(f for f in found if f), "<i4"))
             out.append(rows.append_column("ids", pa.ListArray.from_arrays(offsets, values)))
-            del known, found, words, texts, part
+            del known, piece, found, words, whole, texts, flat
             give_back()
         return pa.concat_tables(out) if out else pa.schema([]).empty_table()
 
-    return _send_rows(df, text).groupBy("block").cogroup(answers.withColumnRenamed("block", "own_block").groupBy("own_block")).applyInArrow(apply, schema)
+    back = answers.select(F.col("block").alias("own_block"), F.col("part").alias("own_part"), "counts", "ids")
+    return sent.groupBy("part").cogroup(back.groupBy("own_block")).applyInArrow(apply, schema)
 
 
 def decode(ids: Column, model_path: str = MODEL) -> Column:

@@ -287,6 +287,29 @@ def test_pieces_of_odd_texts(spark):
     assert [back[i] for i in range(len(odd))] == [t.replace(pieces.SPACE, " ") if pieces.SPACE in t else t for t in odd]
 
 
+def test_pieces_over_many_blocks(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(pieces, "LONG", 7)
+    one = pieces.encode(docs.withColumn("ids", F.lit("replaced")))
+    got = {r.doc_id: r for r in one.select("doc_id", "lang", "ids").collect()}
+    monkeypatch.undo()
+    want = {r.doc_id: r for r in pieces.encode(docs).select("doc_id", "lang", "ids").collect()}
+    assert len(got) == len(texts) and got == want
+
+
+def test_pieces_of_one_long_word(spark):
+    rng = random.Random(5)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
+    runs = "a" * 100_000 + " " * 100_000
+    df = stored(spark.createDataFrame([(0, blob), (1, runs)], "i int, text string"), "long-words")
+    back = {r.i: r.back for r in pieces.encode(df).select("i", pieces.decode(F.col("ids")).alias("back")).collect()}
+    assert back == {0: blob, 1: runs}
+    model = pieces.load_model()
+    for word in (" " + blob[:300], " " + "a" * 40, "é漢" * 20):
+        score = {i: s for _, i, s in model.pieces}
+        assert sum(score.get(x, model.byte_score) for x in pieces.long_word_ids(word, model)) == best_score(word, model)
+
+
 # lines
 
 
