@@ -53,8 +53,8 @@ SPACE = "▁"
 WORD = r"\n| *[^ \n]+| +"
 #: Added to the least score for each byte of a character without a piece.
 BYTE_PENALTY = -10.0
-#: Text bytes of a block of rows, and of a part of the words.
-BLOCK_BYTES, PART_BYTES = 8 << 20, 4 << 20
+#: Characters of a block of rows, and text bytes of a part of the words.
+BLOCK_CHARS, PART_BYTES = 8 << 20, 4 << 20
 #: Characters up to which a word goes through the relational lattice.
 LONG = 256
 #: Bits of a packed edge below its end, and below its start.
@@ -229,72 +229,91 @@ class Cutter:
         for a, b in pairs:
             self.crossed[at[a], at[b]] = True
 
-    def __call__(self, words: list[str]) -> list[list[str]]:
-        """The parts of each word; no word has a line feed."""
-        if not words:
-            return []
+    def __call__(self, words: list[str]) -> str:
+        """The words, none with a line feed, in lines, their parts divided by ``_CUT``."""
         codes = np.frombuffer("\n".join(words).encode("utf-32-le"), "<u4")
         number = self.number[np.minimum(codes, self.top)]
         feed = codes == 10
         cut = ~self.crossed[number[:-1], number[1:]] & ~feed[:-1] & ~feed[1:]
         marked = np.insert(codes, np.flatnonzero(cut) + 1, ord(_CUT))
-        return [w.split(_CUT) for w in marked.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("\n")]
+        return marked.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-def _block_words(texts: list[str | None], cutter: Cutter, parts: int) -> tuple[dict[str, list[str]], list[str], np.ndarray]:
-    """The parts of each distinct word but the line feed; all distinct parts of up to LONG characters, by the number of their shuffle part, and these numbers."""
-    seen = list({w for t in texts if t for w in words_of(t)} - {"\n"})
-    whole = dict(zip(seen, cutter(seen)))
-    found = sorted({x for p in whole.values() for x in p if len(x) <= LONG})
+class _Numbers(dict):
+    """Numbers for words, in the order in which they are first seen."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _block_parts(marked: str, parts: int) -> tuple[list[str], np.ndarray]:
+    """The distinct parts of up to LONG characters of marked words, by the number of their shuffle part, and these numbers."""
+    found = [x for x in dict.fromkeys(marked.replace(_CUT, "\n").split("\n")) if 0 < len(x) <= LONG]
     number = np.array([zlib.crc32(w.encode()) for w in found], np.int64) * parts >> 32
     order = np.argsort(number, kind="stable")
-    return whole, [found[i] for i in order], number[order]
+    return [found[i] for i in order], number[order]
+
+
+def _packed_rows(rows: pa.Table, codes: np.ndarray, marked: str) -> bytes:
+    """The rows without their texts, which are rows of numbers of words; the numbers as planes of bytes."""
+    codec, sink = pa.Codec("zstd", 4), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as out:
+        out.write_table(rows.combine_chunks())
+    planes, known = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), marked.encode("utf-8", "surrogatepass")
+    return pickle.dumps((sink.getvalue().to_pybytes(), len(planes), codec.compress(planes, asbytes=True), len(known), codec.compress(known, asbytes=True)))
+
+
+def _unpacked_rows(data: bytes) -> tuple[pa.Table, np.ndarray, bytes]:
+    rows, n, planes, m, known = pickle.loads(data)
+    codec = pa.Codec("zstd", 4)
+    codes = np.ascontiguousarray(np.frombuffer(codec.decompress(planes, n, asbytes=True), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return pa.ipc.open_stream(rows).read_all(), codes, codec.decompress(known, m, asbytes=True)
 
 
 _SENT = ["part", "block", "words", "data"]
 
 
-def _send(df: DataFrame, text: str, parts: int, model: Model) -> DataFrame:
+def _send(df: DataFrame, text: str, parts: int, cutter: Cutter) -> DataFrame:
     """For each block of rows: its distinct words by part, and, under a part of its own, the rows themselves.
 
     Blocks end at row boundaries that depend on the rows alone, and are numbered within the scan's partition.
     """
-    cutter = Cutter(model.pairs)
 
     def run(batches):
-        held, size, number = [], 0, TaskContext.get().partitionId() << 24
+        held, codes, counts, numbers, size, number = [], [], [], _Numbers({"\n": 0}), 0, TaskContext.get().partitionId() << 24
 
         def done():
-            rows = pa.Table.from_batches(held)
-            texts = [t for batch in held for t in batch[text].to_pylist()]
-            _, words, part = _block_words(texts, cutter, parts)
+            block, marked = parts + number, cutter(list(numbers)[1:])  # number 0 is the line feed
+            words, part = _block_parts(marked, parts)
             edges = np.searchsorted(part, np.arange(parts + 1))
-            block = parts + number
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
-                out.write_table(rows.combine_chunks())
             filled = [p for p in range(parts) if edges[p] < edges[p + 1]]
             for at in range(0, len(filled), 64):
                 some = filled[at : at + 64]
                 blobs = ["\n".join(words[edges[p] : edges[p + 1]]) for p in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs), pa.nulls(len(some), pa.binary())], _SENT)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], _SENT)
+            rows = pa.Table.from_batches(held).append_column("ids", pa.array(counts, pa.int64()))
+            data = _packed_rows(rows, np.concatenate([np.empty(0, np.uint32), *codes]), marked)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], _SENT)
 
         for batch in batches:
-            bytes_ = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
-            at = 0
-            for i, n in enumerate(bytes_.tolist()):
-                size += n
-                if size > BLOCK_BYTES:
-                    held.append(batch.slice(at, i + 1 - at))
+            at, rest = 0, batch.select([c for c in batch.schema.names if c != text])
+            for i, x in enumerate(batch[text]):
+                t = x.as_py()
+                found = words_of(t) if t else []
+                counts.append(None if t is None else len(found))
+                codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+                size += len(t or "")
+                if size > BLOCK_CHARS:
+                    held.append(rest.slice(at, i + 1 - at))
                     yield from done()
-                    held, size, number, at = [], 0, number + 1, i + 1
+                    held, codes, counts, numbers, size, number, at = [], [], [], _Numbers({"\n": 0}), 0, number + 1, i + 1
                     give_back()
             if at < batch.num_rows:
-                held.append(batch.slice(at))
+                held.append(rest.slice(at))
         if held:
             yield from done()
-        held = []
+        held, codes, numbers = [], [], {}
         give_back()
 
     return small_batches(df).mapInArrow(run, "part long, block long, words string, data binary")
@@ -304,6 +323,19 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
 
+def _spread(known: list[bytes], codes: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the words with the given numbers, and where, in units of ``width``, each row ends; the rows end at ``stop`` numbers."""
+    sizes = np.array([len(k) for k in known], np.int64) // width
+    flat = np.frombuffer(b"".join(known), np.uint8 if width == 1 else "<i4")
+    starts = np.cumsum(sizes) - sizes
+    ends = np.append(0, np.cumsum(sizes[codes]))
+    return _gathered(flat, starts[codes], sizes[codes]), ends[np.append(0, stop)]
+
+
+def _valid(none: np.ndarray):
+    return pa.py_buffer(np.packbits(~none, bitorder="little")) if none.any() else None
+
+
 def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFrame:
     """``df`` (a stored table) with ``ids`` (array<int>).
 
@@ -318,13 +350,12 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
     parts = max(96, size // PART_BYTES)
     # a fixed number of partitions: a word grows to dozens of edges, which sizes measured before don't tell.
     # All three uses of ``sent`` take all its columns, so that one shuffle serves them
-    sent = _send(df, text, parts, model).repartition(parts, "part")
+    cutter, packed = Cutter(model.pairs), pickle.dumps(model)  # long words are rare: a task unpacks the model only if it meets one
+    sent = _send(df.select(*[c for c in df.columns if c != text], text), text, parts, cutter).repartition(parts, "part")
     words = F.explode(F.when(F.col("data").isNull(), F.split("words", "\n"))).alias("word")
     distinct = sent.select("part", "block", words).groupBy("part", "word").agg(F.min("block").alias("seen"))
     known = encode_words(distinct, model).select(F.col("part").alias("own_part"), "word", "ids", "seen")
     narrow = np.dtype("<u2" if len(model.hexes) <= 1 << 16 else "<i4")
-    # long words are rare: a task unpacks the model only if it meets one
-    cutter, packed = Cutter(model.pairs), pickle.dumps(model)
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.filter(pc.is_null(left["data"]))
@@ -341,7 +372,7 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
         return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(out, pa.binary())})
 
     answers = sent.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part long, counts binary, ids binary")
-    line_feed = next((i for p, i, _ in model.pieces if p == "\n"), model.bytes_at + 10)
+    feed = np.array([next((i for p, i, _ in model.pieces if p == "\n"), model.bytes_at + 10)], "<i4").tobytes()
     schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -350,9 +381,9 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
         for data in left["data"].to_pylist():
             if data is None:
                 continue
-            rows = pa.ipc.open_stream(data).read_all()
-            texts = rows[text].to_pylist()
-            whole, words, part = _block_words(texts, cutter, parts)
+            rows, codes, raw = _unpacked_rows(data)
+            marked = raw.decode("utf-8", "surrogatepass")
+            words, part = _block_parts(marked, parts)
             used = np.unique(part).tolist()
             sizes = np.concatenate([np.empty(0, np.int64), *(np.frombuffer(by_part[p][0], "<u2") for p in used)]).astype(np.int64)
             if len(sizes) != len(words):
@@ -361,14 +392,19 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
             stops = (np.cumsum(sizes) * 4).tolist()
             piece = {w: flat[a:b] for w, a, b in zip(words, [0, *stops], stops)}
             spelled = lambda x: np.array(long_word_ids(x, pickle.loads(packed)), "<i4").tobytes()
-            known = {w: piece[p[0]] if len(p) == 1 and p[0] in piece else b"".join(piece[x] if x in piece else spelled(x) for x in p) for w, p in whole.items()}
-            known["\n"] = np.array([line_feed], "<i4").tobytes()
-            found = [None if t is None else b"" if t == "" else b"".join(map(known.__getitem__, words_of(t))) for t in texts]
-            lengths = np.array([0 if f is None else len(f) // 4 for f in found])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), mask=np.array([f is None for f in found] + [False]))
-            values = pa.array(np.frombuffer(b"".join(f for f in found if f), "<i4"))
-            out.append(rows.append_column("ids", pa.ListArray.from_arrays(offsets, values)))
-            del known, piece, found, words, whole, texts, flat
+            ids = [feed, *(piece[w] if w in piece else b"".join([piece[x] if x in piece else spelled(x) for x in w.split(_CUT) if x]) for w in marked.split("\n"))]
+            n_words = rows["ids"].combine_chunks()
+            none, stop = np.asarray(n_words.is_null()), np.cumsum(np.asarray(n_words.fill_null(0)))
+            values, offsets = _spread(ids, codes, stop, 4)
+            letters, ends = _spread([b"\n", *raw.replace(_CUT.encode("utf-8", "surrogatepass"), b"").split(b"\n")], codes, stop, 1)
+            # the first word of a text begins with a space of its own
+            begun = np.diff(ends) > 0
+            letters, ends = np.delete(letters, ends[:-1][begun]), ends - np.append(0, np.cumsum(begun))
+            held = pa.Array.from_buffers(pa.utf8(), len(none), [_valid(none), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(letters)])
+            found = pa.Array.from_buffers(pa.list_(pa.int32()), len(none), [_valid(none), pa.py_buffer(offsets.astype(np.int32))], children=[pa.array(values.view("<i4"))])
+            columns = {c: rows[c] for c in rows.column_names if c != "ids"} | {text: held, "ids": found}
+            out.append(pa.table({f.name: columns[f.name] for f in schema}))
+            del piece, ids, values, letters, codes, flat, held, found
             give_back()
         return pa.concat_tables(out) if out else pa.schema([]).empty_table()
 
@@ -384,6 +420,5 @@ def decode(ids: Column, model_path: str = MODEL) -> Column:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    back = decode(F.col("ids"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (back == F.col("text")).alias("round_trip"), F.sha2(back.cast("binary"), 256).alias("decoded_sha256"))
+    out = encode(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("back", decode(F.col("ids")))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("back") == F.col("text")).alias("round_trip"), F.sha2(F.col("back").cast("binary"), 256).alias("decoded_sha256"))

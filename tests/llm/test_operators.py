@@ -288,7 +288,7 @@ def test_pieces_of_odd_texts(spark):
 
 
 def test_pieces_over_many_blocks(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(pieces, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(pieces, "BLOCK_CHARS", 2_000)
     monkeypatch.setattr(pieces, "LONG", 7)
     one = pieces.encode(docs.withColumn("ids", F.lit("replaced")))
     got = {r.doc_id: r for r in one.select("doc_id", "lang", "ids").collect()}
