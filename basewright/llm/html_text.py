@@ -7,7 +7,8 @@ small labelled table below, says which blocks are main text.
 
 Edge cases: null html and pages without main text give an empty string; text
 of scripts, styles, forms and the like never becomes a block; unclosed and
-unknown tags are tolerated; a tag cut off at the end of the page is dropped;
+unknown tags are tolerated (an unclosed script or style reaches to the end, as
+in browsers, an unclosed menu or button only to the end of its tag); a tag cut off at the end of the page is dropped;
 character references are decoded; repeated pages give repeated rows; other
 input columns are left out.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,13 +29,18 @@ from basewright.llm.common import small_batches, table
 # Fixed values of the HTML standard: element kinds.
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _SKIPPED = set("script style noscript template textarea select button svg math iframe object canvas audio video title head".split())
+_RAW = {"script", "style"}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = set("div section article main nav header footer aside form ul ol dl table figure details dialog menu fieldset blockquote center body".split())
 _BOILER_TAGS = set("nav header footer aside form dialog menu fieldset".split())
 _MAIN_TAGS = {"article", "main"}
 _BOILER_WORDS = set("ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices popup promo promotion related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$)""", re.S)
+#: Words beside which a boiler word keeps its meaning, as in "site-footer" or "comment-list"; "related-work" is no notice.
+_PLAIN_WORDS = set("area bar block bottom box col column container entry global group holder inner item items js left list listing links main module new outer page panel post primary reader right root row secondary section site slot sticky text top unit user wrap wrapper zone".split())
+
+# a quote opens a value only after "=", and only if it is closed
+_TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*"[^"]*"|=\s*'[^']*'|=)*)(?:>|$)""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "boiler")
@@ -46,8 +53,15 @@ _SHAPES = (
     (50, 0, 40, 0, 3, 100), (12, 0, 4, 100, 6, 100), (30, 20, 5, 100, 9, 80), (3, 100, 70, 0, 6, 100), (4, 0, 2, 100, 3, 60), (20, 75, 12, 60, 4, 100),
     (6, 80, 5, 100, 8, 60), (10, 10, 5, 100, 6, 50), (2, 0, 90, 0, 5, 100), (70, 0, 1, 100, 2, 50), (16, 50, 70, 0, 5, 100), (5, 0, 8, 0, 3, 0),
 )
-#: Blocks whose container says nothing, with a last 1 for main text.
+#: Blocks whose container says nothing, with a last 1 for main text: paragraphs at the start, inside and at the end of a text,
+#: one alone, titles and short lines beside long ones; then menus, teasers, imprints and their neighbours.
 _BARE = (
+    (60, 0, 85, 0, 5, 0, 1), (48, 2, 70, 0, 0, 0, 1), (36, 0, 55, 3, 4, 100, 1), (25, 0, 62, 0, 3, 100, 1), (90, 4, 8, 0, 0, 0, 1), (55, 0, 0, 0, 0, 0, 1),
+    (140, 0, 0, 0, 2, 100, 1), (30, 5, 0, 0, 0, 0, 1), (20, 0, 40, 0, 6, 90, 1), (65, 8, 5, 100, 7, 0, 1), (33, 0, 7, 0, 6, 0, 1), (6, 0, 3, 100, 70, 0, 1),
+    (4, 0, 9, 90, 52, 0, 1), (9, 0, 2, 100, 38, 0, 1), (3, 0, 65, 0, 48, 0, 1), (13, 8, 45, 0, 6, 0, 1), (42, 15, 5, 0, 3, 100, 1), (28, 10, 35, 0, 5, 60, 1),
+    (5, 0, 60, 0, 3, 100, 0), (6, 0, 75, 0, 0, 0, 0), (8, 25, 48, 0, 2, 100, 0), (4, 100, 60, 0, 0, 0, 0), (18, 60, 50, 0, 5, 100, 0), (35, 90, 40, 0, 3, 100, 0),
+    (3, 0, 0, 0, 4, 100, 0), (7, 100, 0, 0, 45, 0, 0), (28, 55, 4, 100, 6, 100, 0), (6, 0, 5, 100, 8, 70, 0), (10, 0, 3, 100, 4, 0, 0), (60, 80, 6, 100, 9, 100, 0),
+    (14, 0, 4, 100, 5, 100, 0), (12, 0, 3, 100, 6, 80, 0), (16, 0, 6, 100, 2, 100, 0), (13, 0, 70, 0, 4, 100, 1), (15, 0, 48, 0, 5, 100, 1), (17, 5, 62, 0, 0, 0, 1),
     (75, 0, 60, 0, 82, 0, 1), (58, 3, 11, 0, 75, 0, 1), (40, 0, 75, 0, 66, 2, 1), (92, 6, 40, 0, 12, 0, 1), (22, 0, 58, 0, 75, 0, 1), (31, 9, 66, 0, 70, 0, 1),
     (18, 0, 80, 0, 44, 0, 1), (11, 0, 64, 0, 75, 0, 1), (7, 0, 90, 0, 58, 0, 1), (150, 2, 6, 0, 20, 0, 1), (45, 0, 3, 100, 52, 0, 1), (52, 0, 45, 0, 9, 0, 1),
     (2, 100, 2, 100, 2, 100, 0), (4, 100, 3, 100, 5, 100, 0), (6, 80, 5, 100, 8, 60, 0), (3, 0, 2, 100, 4, 100, 0), (9, 45, 6, 80, 3, 100, 0), (4, 0, 0, 0, 2, 100, 0),
@@ -88,6 +102,21 @@ def classify(tree: tuple, row) -> int:
     return tree[0]
 
 
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)[^>]*(?:>|$)", re.I)
+
+
+def _says_boiler(attributes: str) -> bool:
+    """Whether a class, id or role consists of boiler words, if need be beside plain ones."""
+    for value in _ATTR.findall(attributes):
+        for token in value.strip("\"'").split():
+            words = {w for w in re.split(r"[^a-z]+", re.sub("([a-z])([A-Z])", r"\1 \2", token).lower()) if w}
+            if not words.isdisjoint(_BOILER_WORDS) and words <= _BOILER_WORDS | _PLAIN_WORDS:
+                return True
+    return False
+
+
 def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
     """The flat text blocks of a page: text, words, linked words, main, boiler."""
     stack: list[tuple[str, int, int]] = []
@@ -117,9 +146,11 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
         if not name:
             continue
         if name in _SKIPPED and not m[1]:
-            if not (m[3] or "").endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(page, at)
-                at = end.end() if end else at if name == "head" else len(page)
+            closed = (m[3] or "").endswith("/")
+            if name in _RAW or not closed:
+                end = _end_of(name).search(page, at)
+                # text of an unclosed script is script to the end; other unclosed elements are only a tag
+                at = end.end() if end else len(page) if name in _RAW and not closed else at
             continue
         if name == "a":
             anchor = 0 if m[1] else 1
@@ -142,9 +173,8 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, int, int]]:
                     if closed[0] == name:
                         break
         else:
-            hints = {w for a in _ATTR.findall(m[3] or "") for w in re.split(r"[^a-z]+", a.lower())}
             # the header inside an article holds its title
-            bad = int(name in _BOILER_TAGS and not (name == "header" and main) or name != "body" and not hints.isdisjoint(_BOILER_WORDS))
+            bad = int(name in _BOILER_TAGS and not (name == "header" and main) or name != "body" and _says_boiler(m[3] or ""))
             stack.append((name, int(name in _MAIN_TAGS), bad))
             main += stack[-1][1]
             boiler += bad

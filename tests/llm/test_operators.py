@@ -115,6 +115,36 @@ def test_html_pages(spark):
     assert len(got) == 8
 
 
+def test_html_hard_pages():
+    tree = html_text.train_tree(html_text.LABELLED)
+    para = " ".join(f"word{i}" for i in range(40))
+    last = " ".join(f"last{i}" for i in range(30))
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    both = f"{para}\n\n{last}"
+    pages = {
+        f"<body>{menu}<p>{para}</p><p>{last}</p><div>Imprint</div>": both,  # the last paragraph stays
+        f"<body>{menu}<p>{para}</p><p>{last}</p>": both,
+        f"<body><p>{para}</p>": para,
+        f"<article><select><option>x<p>{para}</p><p>{last}</p></article>": f"x\n\n{both}",  # an unclosed element takes nothing along
+        f"<article><button>Go<p>{para}</p></article>": f"Go\n\n{para}",
+        f"<article><script>var a</script foo><p>{para}</p></article>": para,
+        f"<article><script src=x />code()</script><p>{para}</p></article>": para,
+        f"<article><p class=it's>{para}</p><p title='a>b' id=\"c>d\">{last}</p></article>": both,
+        f"<article><section class='related-work'><p>{para}</p></section><div class='post-share-price'><p>{last}</p></div></article>": both,
+        f"<div class='content-widget'><article><p>{para}</p></article></div>": para,
+        f"<article><p>{para}</p><div class='comment-list'><p>{last}</p></div><aside>{last}</aside></article>": para,
+    }
+    for page, want in pages.items():
+        assert html_text.main_text(page, tree) == want, page
+    used, todo = set(), [tree]
+    while todo:
+        node = todo.pop()
+        if len(node) > 1:
+            used.add(html_text.FEATURES[node[0]])
+            todo += node[2:]
+    assert used & {"words_before", "links_before"} and used & {"words_after", "links_after"}
+
+
 # near duplicates
 
 
