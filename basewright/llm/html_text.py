@@ -72,7 +72,7 @@ _BARE = (
 LABELLED = tuple((*x, main, boiler, int(main and not boiler)) for x in _SHAPES for main, boiler in ((1, 0), (0, 1), (1, 1))) + tuple((*x[:6], 0, 0, x[6]) for x in _BARE)
 
 
-def train_tree(rows, depth: int = 6) -> tuple:
+def train_tree(rows, depth: int = 8) -> tuple:
     """A CART tree: (feature, threshold, left, right) or a class; rows end in their class."""
     ones = sum(r[-1] for r in rows)
     if depth == 0 or ones in (0, len(rows)):
