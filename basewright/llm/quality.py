@@ -2,9 +2,11 @@
 
 The statistics of a document become a transformed vector. Per language and
 source the minimum-covariance-determinant estimate gives a centre and a shape
-that outliers don't pull: start from the half nearest the medians, then repeat
-concentration steps (estimate from the nearest share, measure all again).
-Documents far from the centre by Mahalanobis distance are rejected. Everything
+that outliers don't pull. Concentration steps (estimate from the nearest share,
+measure all again) run from three starts: medians with median deviations,
+medians with the least spreads, mean and covariance of all rows. After
+``FIRST_STEPS`` each group goes on with the start of the least determinant,
+until no group's determinant falls any more. Documents far from the centre by Mahalanobis distance are rejected. Everything
 is DataFrame expressions; the rows of a group are only ever aggregated.
 
 Edge cases: null or blank text has no words and fails the base rule; null
@@ -27,8 +29,8 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: A group needs so many rows to have an estimate of its own.
 MIN_GROUP = 200
-#: Share of a group that a concentration step keeps, and the number of steps.
-CORE, STEPS = 0.75, 3
+#: Share of a group that a concentration step keeps, the steps from each start, and a bound on those that follow.
+CORE, FIRST_STEPS, MORE_STEPS = 0.75, 2, 20
 #: Least standard deviation of each coordinate, in units of the vector. Where a group has
 #: no more, 40 % repeated lines or 33 % repeated words alone reach the cutoff.
 SPREAD = (0.5, 0.1, 0.08, 0.1, 0.09)
@@ -114,11 +116,11 @@ def _level(distance: Column) -> Column:
 
 
 def _inverse(rows: DataFrame) -> DataFrame:
-    """Replace the covariance columns s_i_j by those of its inverse, p_i_j (Gauss-Jordan)."""
+    """Replace the covariance columns s_i_j by those of its inverse, p_i_j (Gauss-Jordan), and ``det``, the product of the pivots."""
     n = range(DIMS)
     a = {(i, j): F.col(f"s_{min(i, j)}_{max(i, j)}") for i in n for j in n}
     b = {(i, j): F.lit(1.0 if i == j else 0.0) for i in n for j in n}
-    rows = rows.withColumns({f"_a0_{i}_{j}": a[i, j] for i in n for j in n} | {f"_b0_{i}_{j}": b[i, j] for i in n for j in n})
+    rows = rows.withColumn("det", F.lit(1.0)).withColumns({f"_a0_{i}_{j}": a[i, j] for i in n for j in n} | {f"_b0_{i}_{j}": b[i, j] for i in n for j in n})
     for k in n:
         col = lambda m, i, j, k=k: F.col(f"_{m}{k}_{i}_{j}")
         new = {}
@@ -127,7 +129,7 @@ def _inverse(rows: DataFrame) -> DataFrame:
                 top = col(m, k, j) / col("a", k, k)
                 for i in n:
                     new[f"_{m}{k + 1}_{i}_{j}"] = top if i == k else col(m, i, j) - col("a", i, k) * col(m, k, j) / col("a", k, k)
-        rows = rows.select(*[c for c in rows.columns if not c.startswith(("_a", "_b"))], *[v.alias(c) for c, v in new.items()])
+        rows = rows.select(*[c for c in rows.columns if not c.startswith(("_a", "_b")) and c != "det"], (F.col("det") * col("a", k, k)).alias("det"), *[v.alias(c) for c, v in new.items()])
     keep = [c for c in rows.columns if not c.startswith(("_a", "_b", "s_"))]
     return rows.select(*keep, *[F.col(f"_b{DIMS}_{i}_{j}").alias(f"p_{i}_{j}") for i in n for j in n if i <= j])
 
@@ -141,34 +143,50 @@ def _diagonal(rows: DataFrame, scales: list[Column]) -> DataFrame:
     return rows.withColumns({f"p_{i}_{j}": 1 / (scales[i] * scales[i]) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(i, DIMS)})
 
 
+def _estimate(core: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: centre, inverse of the floored covariance and its determinant."""
+    dims = range(DIMS)
+    x = [F.col(f"x_{i}").cast("double") for i in dims]
+    sums = core.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(x[i]).alias(f"t_{i}") for i in dims], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in dims for j in dims if i <= j])
+    unit = float(SCALE * SCALE)
+    cov = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")) / F.col("n") / unit
+    shape = lambda i, j: F.greatest(cov(i, j), F.lit(SPREAD[i] ** 2)) if i == j else JOINT * cov(i, j)
+    return _inverse(sums.select(*keys, *[(F.col(f"t_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in dims], *[shape(i, j).alias(f"s_{i}_{j}") for i in dims for j in dims if i <= j]))
+
+
+def _concentrated(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """The estimates from the ``CORE`` share of rows that is nearest to a stored model, by its keys."""
+    measured = rows.join(small(model), keys[0]).select(*keys, *[f"x_{i}" for i in range(DIMS)], _level(_distance()).alias("level"))
+    edge = stored(_quantile(measured, keys, "level", CORE, "edge"), "edge")
+    return _estimate(measured.join(small(edge), keys).where("level <= edge"), keys)
+
+
 def covariance_determinant(rows: DataFrame, group: str = "grp") -> DataFrame:
-    """Per group: centre m_i, inverse shape p_i_j and ``factor``, from rows with x_0 … (a stored table).
+    """Per group: centre m_i, inverse shape p_i_j, its determinant det and ``factor``, from rows with x_0 … (a stored table).
 
     ``factor`` makes the median squared distance that of the normal law.
     """
-    dims = range(DIMS)
+    dims, keys = range(DIMS), [group, "start"]
     long = rows.select(group, F.posexplode(F.array(*[F.col(f"x_{i}") for i in dims])).alias("dim", "x"))
     mid = stored(_quantile(long, [group, "dim"], "x", 0.5, "mid"), "mid")
     off = long.join(small(mid), [group, "dim"]).withColumn("off", F.abs(F.col("x") - F.col("mid")))
     mad = _quantile(off, [group, "dim"], "off", 0.5, "mad")
     pick = lambda c, i: F.max(F.when(F.col("dim") == i, F.col(c))) / SCALE
     first = mid.join(mad, [group, "dim"]).groupBy(group).agg(*[pick("mid", i).alias(f"m_{i}") for i in dims], *[pick("mad", i).alias(f"d_{i}") for i in dims])
-    model = _diagonal(first, [F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(SPREAD[i])) for i in dims]).drop(*[f"d_{i}" for i in dims])
-    for step in range(STEPS):
-        model = stored(model, f"model{step}")
-        measured = rows.join(small(model), group).withColumn("level", _level(_distance()))
-        edge = stored(_quantile(measured, [group], "level", CORE, "edge"), f"edge{step}")
-        core = measured.join(small(edge), group).where("level <= edge")
-        x = [F.col(f"x_{i}").cast("double") for i in dims]
-        sums = core.groupBy(group).agg(
-            F.count("*").alias("n"), *[F.sum(x[i]).alias(f"t_{i}") for i in dims], *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in dims for j in dims if i <= j]
-        )
-        unit = float(SCALE * SCALE)
-        cov = lambda i, j: (F.col(f"q_{i}_{j}") - F.col(f"t_{i}") * F.col(f"t_{j}") / F.col("n")) / F.col("n") / unit
-        shape = lambda i, j, cov=cov: F.greatest(cov(i, j), F.lit(SPREAD[i] ** 2)) if i == j else JOINT * cov(i, j)
-        model = sums.select(group, *[(F.col(f"t_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in dims], *[shape(i, j).alias(f"s_{i}_{j}") for i in dims for j in dims if i <= j])
-        model = _inverse(model)
-    model = stored(model, "model")
+    first = first.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    first = _diagonal(first, [F.when(F.col("start") == 0, F.greatest(1.4826 * F.col(f"d_{i}"), F.lit(SPREAD[i]))).otherwise(F.lit(SPREAD[i])) for i in dims]).withColumn("det", F.lit(0.0))
+    whole = _estimate(rows.withColumn("start", F.lit(2)), keys)
+    model = stored(whole.unionByName(first.select(*whole.columns)), "starts")
+    for _ in range(FIRST_STEPS):
+        model = stored(_concentrated(rows, model, keys), "concentrated")
+    best = model.groupBy(group).agg(F.min(F.struct("det", "start")).alias("best")).select(group, F.col("best.start").alias("start"))
+    model = stored(model.join(small(stored(best, "best")), keys, "left_semi").drop("start"), "least")
+    for _ in range(MORE_STEPS):
+        step = stored(_concentrated(rows, model, [group]), "concentrated")
+        fell = stored(step.alias("s").join(small(model.select(group, F.col("det").alias("_was"))), group).where(F.col("det") < F.col("_was") * (1 - 1e-9)).drop("_was"), "fallen")
+        if not fell.limit(1).count():
+            break
+        model = stored(model.join(small(fell.select(group)), group, "left_anti").unionByName(fell), "least")
     half = _quantile(rows.join(small(model), group).withColumn("level", _level(_distance())), [group], "level", 0.5, "half")
     # never below 1: the least spread already widens groups that agree closely
     factor = F.greatest(F.expm1(F.col("half") / 200.0) / CHI2_MEDIAN[DIMS], F.lit(1.0))

@@ -552,6 +552,58 @@ def test_outliers_go_and_others_stay(spark):
     assert all(r.kept == (r.doc_id % 20 != 0) for r in rows)
 
 
+def test_verdicts_match_numpy(spark, sf):
+    """The whole estimate again, one group at a time, with numpy's covariance, inverse and determinant."""
+    import numpy as np
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 4 == 3, F.col("lang")).otherwise("xx")).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    least, floor, mixed = 20, np.array(quality.SPREAD), quality.JOINT
+    rows = quality.quality_verdicts(docs, min_group=least).join(docs.select("doc_id", "lang", "source", F.size(F.filter(F.split("text", "\n"), lambda l: l.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines")), "doc_id").collect()
+    good = [r for r in rows if not r.base_failed]
+    count = lambda of: {k: sum(of(r) == k for r in good) for k in {of(r) for r in good}}
+    own = {k for k, n in count(lambda r: (r.lang, r.source)).items() if n >= least}
+    by_lang = {r.lang: sum((q.lang, q.source) not in own and q.lang == r.lang for q in good) for r in good}
+    group = lambda r: (r.lang, r.source) if (r.lang, r.source) in own else r.lang if by_lang[r.lang] >= least else "*"
+    assert len(own) >= 2 and len({group(r) for r in good}) > len(own)
+
+    def vector(r):
+        share = lambda a, b: math.sqrt(a / max(b, 1))
+        raw = [math.log1p(r.n_words), math.log(max(r.word_chars, 1) / max(r.n_words, 1)), share(r.n_symbols, r.word_chars), share(r.n_dup_lines, r.n_lines), share(r.n_repeat_words, r.n_words)]
+        return [math.floor(v * quality.SCALE + 0.5) / quality.SCALE for v in raw]
+
+    quantile = lambda v, q: sorted(v)[math.ceil(q * len(v)) - 1]
+    level = lambda d: np.floor(np.log1p(d) * 200 + 0.5)
+    measure = lambda x, m: np.einsum("ni,ij,nj->n", x - m[0], np.linalg.inv(m[1]), x - m[0])
+
+    def estimate(x):
+        c = np.atleast_2d(np.cov(x.T, bias=True))
+        c = mixed * c + np.diag(np.maximum(np.diag(c), floor**2) - mixed * np.diag(c))
+        return x.mean(axis=0), c
+
+    def concentrate(x, m):
+        lv = level(measure(x, m))
+        return estimate(x[lv <= quantile(lv, quality.CORE)])
+
+    for g in {group(r) for r in good}:
+        mine = [r for r in good if group(r) == g]
+        x = np.array([vector(r) for r in mine])
+        mid = np.array([quantile(c, 0.5) for c in x.T])
+        mad = np.array([quantile(c, 0.5) for c in np.abs(x - mid).T])
+        models = [(mid, np.diag(np.maximum(1.4826 * mad, floor) ** 2)), (mid, np.diag(floor**2)), estimate(x)]
+        for _ in range(quality.FIRST_STEPS):
+            models = [concentrate(x, m) for m in models]
+        best = min(models, key=lambda m: round(np.linalg.det(m[1]), 18))
+        for _ in range(quality.MORE_STEPS):
+            step = concentrate(x, best)
+            if np.linalg.det(step[1]) >= np.linalg.det(best[1]) * (1 - 1e-9):
+                break
+            best = step
+        far = measure(x, best)
+        far /= max(math.expm1(quantile(level(far), 0.5) / 200) / quality.CHI2_MEDIAN[5], 1.0)
+        for r, d in zip(mine, far):
+            assert abs(r.distance - d) <= 1e-6 * max(1, d) and r.kept == (d <= quality.CUTOFF)
+
+
 def test_repetition_alone_is_rejected(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
