@@ -12,8 +12,8 @@ inflates, whichever comes first and whatever the file began with, goes on
 there, and logs the skipped bytes as a quarantined gap.
 
 Edge cases: null html is an empty payload; a null url leaves out the target
-header; line breaks in a url are percent-encoded; null page ids are allowed
-and never refer to others; rows that repeat the largest page id of a payload
+header; line breaks in a url are percent-encoded; null page ids are allowed,
+have a record id made of their payload's digest, and never refer to others; rows that repeat the largest page id of a payload
 are all responses; an empty table gives no records.
 """
 
@@ -36,10 +36,12 @@ VERSION = b"WARC/1.1\r\n"
 #: Any version line may open a record.
 _START = re.compile(rb"WARC/[01]\.\d+\r\n")
 _MEMBER = b"\x1f\x8b\x08"
-#: Rows of one archive file; bounds what a reading task holds.
-FILE_RECORDS = 5_000
+#: Rows of one archive file, and bytes of payload in it: what a reading task holds (a binary file must stay below 2 GB).
+FILE_RECORDS, FILE_BYTES = 5_000, 1 << 28
 RECORDS = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string, payload binary"
 _DATE = "2024-01-01T00:00:00Z"
+#: Fixed value of the format for revisits of equal payloads.
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -74,7 +76,8 @@ def record_text() -> Column:
     head = F.concat(
         F.lit(VERSION.decode()),
         line("WARC-Type", F.col("record_type")),
-        F.coalesce(line("WARC-Record-ID", urn(F.col("page_id"))), F.lit("")),
+        line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.concat(F.lit("<urn:sha1:"), F.col("payload_digest"), F.lit(">")))),
+        F.when(revisit, F.lit(f"WARC-Profile: {_PROFILE}\r\n")).otherwise(F.lit("")),
         F.coalesce(line("WARC-Target-URI", url), F.lit("")),
         line("WARC-Date", F.lit(_DATE)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
@@ -87,8 +90,10 @@ def record_text() -> Column:
 
 
 def write_archives(planned: DataFrame, path: str, compression: str = "none") -> None:
-    """Write planned records as archive files under ``path``."""
-    planned.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+    """Write planned records as archive files under ``path``, of so many records that the largest payloads fit."""
+    largest = planned.agg(F.max("payload_bytes")).first()[0] or 0
+    records = max(1, min(FILE_RECORDS, FILE_BYTES // (largest + 1)))
+    planned.select(record_text().alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).option("compression", compression).text(path)
 
 
 def pack_members(records: list[bytes]) -> bytes:
@@ -195,49 +200,64 @@ def salvage(data: bytes) -> Iterator[tuple[str, object]]:
         yield "gap", (bad, len(data))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The valid records of all archive files under ``path``."""
-    return _read(spark, path, False)
-
+LOG = f"{RECORDS}, path string, gap_start long, gap_end long"
 
-def read_gaps(spark: SparkSession, path: str) -> DataFrame:
-    """path, gap_start, gap_end of the bytes that no valid record covers."""
-    return _read(spark, path, True)
 
+def read_logged(spark: SparkSession, path: str) -> DataFrame:
+    """All archive files under ``path`` in one read: a row per valid record, and one per gap, with null record_type.
 
-def _read(spark: SparkSession, path: str, gaps: bool) -> DataFrame:
-    names = [c.split()[0] for c in RECORDS.split(", ")]
+    path, gap_start and gap_end say which bytes of a file no valid record covers; null for records.
+    """
+    names = [c.split()[0] for c in LOG.split(", ")]
 
     def parse(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                found = salvage(content)
-                if gaps:
-                    rows = [(name, *x) for kind, x in found if kind == "gap"]
-                    yield pd.DataFrame(rows, columns=["path", "gap_start", "gap_end"])
-                    continue
                 rows, held = [], 0
-                for kind, x in found:
+                for kind, x in salvage(content):
                     if kind == "record":
                         rows.append(x)
                         held += len(x["payload"])
+                    else:
+                        rows.append({"path": name, "gap_start": x[0], "gap_end": x[1]})
                     if held > 8 << 20:
                         yield _frame(rows, names)
                         rows, held = [], 0
                 yield _frame(rows, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return small_batches(files).mapInPandas(parse, "path string, gap_start long, gap_end long" if gaps else RECORDS)
+    return small_batches(files).mapInPandas(parse, LOG)
+
+
+def records_of(log: DataFrame) -> DataFrame:
+    return log.where("gap_start is null").drop("path", "gap_start", "gap_end")
+
+
+def gaps_of(log: DataFrame) -> DataFrame:
+    return log.where("gap_start is not null").select("path", "gap_start", "gap_end")
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The valid records of all archive files under ``path``."""
+    return records_of(read_logged(spark, path))
+
+
+def read_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """path, gap_start, gap_end of the bytes that no valid record covers."""
+    return gaps_of(read_logged(spark, path))
 
 
 def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=names)
-    for c in ("page_id", "refers_to", "payload_bytes"):
+    for c in ("page_id", "refers_to", "payload_bytes", "gap_start", "gap_end"):
         out[c] = out[c].astype("Int64")
+    for c in ("record_type", "payload_digest", "url", "payload", "path"):
+        out[c] = out[c].astype(object).where(out[c].notna(), None)
     return out
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/basewright/warc-{uuid.uuid4().hex}"
     write_archives(plan_records(table(spark, sf_dir, "pages")), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    log = stored(read_logged(spark, path).drop("payload"), "warc-log")  # the gaps stay there beside the records
+    return records_of(log).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -508,6 +508,21 @@ def test_salvage_of_damaged_archives(spark):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"noise")) == [("gap", (0, 5))]
 
 
+def test_gaps_are_logged_beside_the_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 60)  # two of the largest payload a file
+    warc.write_archives(warc.plan_records(pages(spark).coalesce(1), dedup_bytes=10**9), str(tmp_path / "a"))
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 2
+    data = files[0].read_bytes()
+    files[0].write_bytes(data[:5] + b"#" + data[6:])
+    (files[0].parent / f".{files[0].name}.crc").unlink()
+    log = warc.read_logged(spark, str(tmp_path / "a"))
+    (gap,) = warc.gaps_of(log).collect()
+    assert gap.path.endswith(files[0].name) and gap.gap_start == 0 and warc.records_of(log).count() == 6
+    heads = spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "a")).where("value like 'WARC/%'")
+    assert heads.where("value like '%WARC-Record-ID: <urn:%'").count() == heads.count()
+
+
 def test_salvage_after_damaged_first_bytes():
     body = b"<p>x</p>"
     digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
@@ -635,6 +650,14 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_keeps_rows_without_id(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 10 > 0, F.col("doc_id")))
+    nulls = odd.where("doc_id is null").count()
+    for stage in (corpus_pipeline.quality_rules, corpus_pipeline.near_dedup, corpus_pipeline.decontamination):
+        assert nulls and stage(spark, odd, sf).where("doc_id is null").count() == nulls
+
+
 def test_pipeline_of_nothing(spark, sf, empty):
     docs = empty
     for name, stage in corpus_pipeline.STAGES:
