@@ -519,7 +519,7 @@ def test_gaps_are_logged_beside_the_records(spark, tmp_path, monkeypatch):
     log = warc.read_logged(spark, str(tmp_path / "a"))
     (gap,) = warc.gaps_of(log).collect()
     assert gap.path.endswith(files[0].name) and gap.gap_start == 0 and warc.records_of(log).count() == 6
-    heads = spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "a")).where("value like 'WARC/%'")
+    heads = spark.read.option("lineSep", "\r\n\r\n").text(str(tmp_path / "a")).where("value like 'WARC/%WARC-Type%'")
     assert heads.where("value like '%WARC-Record-ID: <urn:%'").count() == heads.count()
 
 
