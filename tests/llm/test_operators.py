@@ -403,7 +403,9 @@ def fuzzy_lines(rng, often):
 
 @pytest.mark.parametrize("bucket", [lines.BUCKET, 1])
 def test_fuzzy_lines_match_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(lines, "BUCKET", bucket)  # 1: keys of two and three words
+    monkeypatch.setattr(lines, "BUCKET", bucket)  # 1: keys of two and three words, buckets that link to hubs
+    if bucket == 1:
+        monkeypatch.setattr(lines, "ALL_PAIRS", 3)
     made = fuzzy_lines(random.Random(5), [f"c{i}" for i in range(30)])
     root = list(range(len(made)))
 
