@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
-import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, MapType, StringType
 from pyspark.sql.window import Window
 
+from basewright.functions.dna import bind
+from basewright.functions.text import metric_key_part
+
 
 def finite(x: Column) -> Column:
     """The number if it is finite, else null."""
@@ -163,33 +162,32 @@ def gate_telemetry(df: DataFrame, by: str, gate: str) -> DataFrame:
     return df.groupBy(by).agg(F.avg(gate).alias("mean"), F.stddev_pop(gate).alias("std"), F.avg(((F.col(gate) > 0.9) | (F.col(gate) < 0.1)).cast("double")).alias("saturation"))
 
 
-_SKIPPED = {"checkpoint", "supported_manifest_sections"}
+#: Members that hold no metrics.
+_SKIPPED = ("checkpoint", "supported_manifest_sections")
+_NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+
 
+def flattened(text: Column, prefix: str = "benchmark", levels: int = 8) -> Column:
+    """The numeric leaves of a JSON object, by slash-delimited keys; an empty map for what is no JSON.
 
-def flatten_numbers(text: str | None, prefix: str = "benchmark", max_depth: int = 8) -> dict[str, float]:
-    """Numeric leaves of nested JSON objects as slash-delimited keys."""
-    part = lambda x: re.sub(r"/+", "/", re.sub(r"[^A-Za-z0-9_.@+/-]+", "_", str(x).strip().replace("\\", "/"))).strip("/") or "unnamed"
-    out: dict[str, float] = {}
+    The text becomes a variant; each level opens the objects of the one before. Of keys that become equal the last by name counts.
+    """
+    kind = lambda v: F.schema_of_variant(v)
+    leaf = lambda path, v: F.struct(path.alias("path"), v.alias("v"))
 
-    def visit(value, path: list[str]) -> None:
-        if len(path) - 1 > max_depth or isinstance(value, bool):
-            return
-        if isinstance(value, (int, float)):
-            if math.isfinite(value):
-                out["/".join(path)] = float(value)
-        elif isinstance(value, dict):
-            for k, v in value.items():
-                if k not in _SKIPPED:
-                    visit(v, [*path, part(k)])
+    def opened(x: Column) -> Column:
+        members = F.filter(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda m: ~m["key"].isin(*_SKIPPED))
+        inner = F.transform(members, lambda m: leaf(F.concat(x["path"], F.lit("/"), metric_key_part(m["key"])), m["value"]))
+        return F.when(kind(x["v"]).startswith("OBJECT"), inner).otherwise(F.array(x))
 
-    try:
-        visit(json.loads(text) if text else {}, [part(prefix)])
-    except ValueError:
-        return {}
-    return out
+    found = F.array(leaf(metric_key_part(F.lit(prefix)), F.try_parse_json(text)))
+    for _ in range(levels):
+        found = F.flatten(F.transform(found, opened))
+    numbers = F.transform(F.filter(found, lambda x: kind(x["v"]).rlike(_NUMBER)), lambda x: F.struct(x["path"].alias("path"), F.try_variant_get(x["v"], "$", "double").alias("value")))
 
+    def last_of_each(rows: Column) -> Column:
+        names = F.array_distinct(F.transform(rows, lambda x: x["path"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(rows, lambda x: x["path"] == n), -1)["value"]))
 
-@F.pandas_udf(MapType(StringType(), DoubleType()))
-def flattened(texts: pd.Series) -> pd.Series:
-    """C22 as a column function."""
-    return pd.Series([flatten_numbers(t) for t in texts])
+    finite_ones = F.filter(numbers, lambda x: F.abs(x["value"]) < float("inf"))
+    return F.when(F.try_parse_json(text).isNull(), F.create_map().cast("map<string,double>")).otherwise(bind(finite_ones, last_of_each))

@@ -31,40 +31,70 @@ def independent_mask(ids: Column, prob: float, seed: int, *key: Column, weights:
 
 
 def target_count(valid: Column, fraction: float) -> Column:
-    """How many tokens span masking covers: half-even rounded, from 1 to all."""
+    """How many tokens span masking covers: half-even rounded, from 1 to all; none for no fraction."""
+    if fraction <= 0:
+        return F.lit(0)
     return F.when(valid > 0, F.least(F.greatest(F.bround(valid * F.lit(fraction)).cast("int"), F.lit(1)), valid)).otherwise(0)
 
 
-def span_mask_one(ids: list[int], attention: list[int], fraction: float, span: int, u) -> list[bool]:
-    """G4 for one row: spans from drawn starts until exactly the target is masked; ``u`` draws from [0, 1)."""
-    ok = [a == 1 and x > MASK for x, a in zip(ids, attention)]
-    valid = sum(ok)
+class _Free:
+    """Positions that can still be drawn; taking one out costs the same at any length."""
+
+    def __init__(self, positions: list[int], weight) -> None:
+        self.at, self.place, self.weight = positions, {p: i for i, p in enumerate(positions)}, weight
+
+    def take(self, position: int) -> None:
+        i, last = self.place.pop(position), self.at.pop()
+        if last != position:
+            self.at[i], self.place[last] = last, i
+
+    def draw(self, u) -> int:
+        """By weight; where all weights are 0, or there are none, each alike."""
+        total = sum(map(self.weight, self.at)) if self.weight else 0
+        if not total:
+            return self.at[int(u() * len(self.at))]
+        upto, aim = 0.0, u() * total
+        for p in self.at:
+            upto += self.weight(p)
+            if aim < upto:
+                return p
+        return max(self.at, key=self.weight)
+
+
+def span_mask_one(ids: list[int], attention: list[int], fraction: float, span: int, u, weights: dict[int, float] | None = None) -> list[bool]:
+    """G4 for one row: spans from drawn starts until exactly the target is masked; ``u`` draws from [0, 1).
+
+    A span covers ``span`` tokens that were free, walking past masked ones up to the next token that can't be masked.
+    ``weights``: by token id, how likely a span starts there (1 if absent).
+    """
+    valid = [a == 1 and x > MASK for x, a in zip(ids, attention)]
+    free = _Free([i for i, good in enumerate(valid) if good], (lambda p: max(0.0, weights.get(ids[p], 1.0))) if weights else None)
+    n, left = len(free.at), min(len(free.at), max(1, round(len(free.at) * fraction))) if fraction > 0 else 0
     out = [False] * len(ids)
-    target = min(max(round(valid * fraction), 1), valid) if valid else 0
-    done = tries = 0
-    while done < target and tries < 4 * target + 16:
-        free = [i for i, good in enumerate(ok) if good and not out[i]]
-        at = free[int(u() * len(free))]
-        for j in range(at, min(at + span, len(ids))):
-            if done == target or not ok[j] or out[j]:
-                break
-            out[j] = True
-            done += 1
-        tries += 1
-    free = [i for i, good in enumerate(ok) if good and not out[i]]
-    while done < target:
-        out[free.pop(int(u() * len(free)))] = True
-        done += 1
+    for _ in range(max(4 * n, 8 * left, 16)):
+        if not left:
+            break
+        at, room = free.draw(u), min(span, left)
+        while room and at < len(ids) and valid[at]:
+            if not out[at]:
+                out[at] = True
+                free.take(at)
+                room, left = room - 1, left - 1
+            at += 1
+    for _ in range(left):  # the starts that weights allow were not enough
+        at = free.at[int(u() * len(free.at))]
+        out[at] = True
+        free.take(at)
     return out
 
 
-def span_mask(df: DataFrame, ids: str, attention: str, key: str, fraction: float, span: int, seed: int) -> DataFrame:
+def span_mask(df: DataFrame, ids: str, attention: str, key: str, fraction: float, span: int, seed: int, weights: dict[int, float] | None = None) -> DataFrame:
     """``df`` with ``mask``, exactly the target count in each row."""
     import random
 
     @F.pandas_udf("array<boolean>")
     def run(a: pd.Series, b: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([span_mask_one(list(x), list(y), fraction, span, random.Random(f"{seed}:{z}").random) for x, y, z in zip(a, b, k)])
+        return pd.Series([span_mask_one(list(x), list(y), fraction, span, random.Random(f"{seed}:{z}").random, weights) for x, y, z in zip(a, b, k)])
 
     return df.withColumn("mask", run(ids, attention, F.col(key).cast("string")))
 

@@ -24,7 +24,7 @@ def _runs(spark, sf):
 @add("c22_flatten_json", "SELECT event_id, 'benchmark/k' AS metric, (json_extract_string(props, '$.k'))::DOUBLE AS value FROM events UNION ALL SELECT event_id, 'benchmark/run/loss', value FROM events")
 def c22(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.concat(F.expr("left(props, length(props) - 1)"), F.lit(', "ok": true, "checkpoint": {"x": 1}, "tags": [1], "run": {"loss": '), F.col("value").cast("string"), F.lit("}}")).alias("j"))
-    return e.select("event_id", F.explode(catalog.flattened("j")).alias("metric", "value"))
+    return e.select("event_id", F.explode(catalog.flattened(F.col("j"))).alias("metric", "value"))
 
 
 @add("j01_history_payload", "SELECT event_id AS step, k AS metric, round(v, 9) AS value FROM (SELECT event_id, unnest(['global_step', 'epoch', 'eval/loss', 'eval/acc']) AS k, unnest([event_id::DOUBLE, (event_id // 1000)::DOUBLE, CASE WHEN event_type = 'error' THEN NULL ELSE value END, value / 100]) AS v FROM events) WHERE v IS NOT NULL")

@@ -172,12 +172,20 @@ def test_kmers_across_stretches(spark):
 # masking and controls
 
 
+def test_span_mask_weights_and_nothing():
+    assert masking.span_mask_one([5, 6, 7], [1, 1, 1], 0.0, 3, random.Random(0).random) == [False] * 3
+    for seed in range(20):
+        # the only start with a weight; the span walks on from there
+        assert masking.span_mask_one([5, 6, 7, 5, 5, 5], [1] * 6, 0.5, 3, random.Random(seed).random, {5: 0.0, 7: 0.0}) == [False, True, True, True, False, False]
+    assert masking.span_mask_one(list(range(5, 15)), [1] * 10, 1.0, 4, random.Random(3).random) == [True] * 10
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=80), st.floats(0, 1), st.integers(1, 9))
 def test_span_mask_counts(ids, fraction, span):
     mask = masking.span_mask_one(ids, [1] * len(ids), fraction, span, random.Random(0).random)
     valid = sum(x > 4 for x in ids)
-    assert sum(mask) == (min(max(round(valid * fraction), 1), valid) if valid else 0)
+    assert sum(mask) == (min(max(round(valid * fraction), 1), valid) if valid and fraction > 0 else 0)
     assert not any(m and x <= 4 for m, x in zip(mask, ids))
 
 
@@ -267,10 +275,17 @@ def test_edges_are_hidden(spark):
     assert [(r.i, r.j) for r in top] == [(1, 1), (1, 2), (1, 3)]
 
 
-def test_flattened_numbers():
-    got = catalog.flatten_numbers('{"task": {"accuracy": 0.75, "labels": [1], "count": 4, "ok": true}, "checkpoint": {"x": 1}}')
-    assert got == {"benchmark/task/accuracy": 0.75, "benchmark/task/count": 4.0}
-    assert catalog.flatten_numbers("no json") == {} and catalog.flatten_numbers(None) == {}
+def test_flattened_numbers(spark):
+    texts = [
+        '{"task": {"accuracy": 0.75, "labels": [1], "count": 4, "ok": true, "name": "5"}, "checkpoint": {"x": 1}}', "no json", None, "{}", "[1]",
+        '{"a b": 1, "a  b": 2, "d": {"e": {"f": -1e3}}, "n": null}', "".join('{"k":' for _ in range(8)) + "7" + "}" * 8, "".join('{"k":' for _ in range(9)) + "7" + "}" * 9,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.m for r in df.select("i", catalog.flattened(F.col("t")).alias("m")).collect()}
+    assert got == {
+        0: {"benchmark/task/accuracy": 0.75, "benchmark/task/count": 4.0}, 1: {}, 2: {}, 3: {}, 4: {},
+        5: {"benchmark/a_b": 1.0, "benchmark/d/e/f": -1000.0}, 6: {"benchmark" + "/k" * 8: 7.0}, 7: {},
+    }
 
 
 def test_modes():
