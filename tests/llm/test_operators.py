@@ -401,11 +401,9 @@ def fuzzy_lines(rng, often):
     return [x for x in out if len(x) >= lines.MIN_WORDS]
 
 
-@pytest.mark.parametrize("bucket", [lines.BUCKET, 1])
-def test_fuzzy_lines_match_brute_force(spark, monkeypatch, bucket):
-    monkeypatch.setattr(lines, "BUCKET", bucket)  # 1: keys of two and three words, buckets that link to hubs
-    if bucket == 1:
-        monkeypatch.setattr(lines, "ALL_PAIRS", 3)
+@pytest.mark.parametrize("pairs", [lines.ALL_PAIRS, 3])
+def test_fuzzy_lines_match_brute_force(spark, monkeypatch, pairs):
+    monkeypatch.setattr(lines, "ALL_PAIRS", pairs)  # 3: most buckets link to hubs
     made = fuzzy_lines(random.Random(5), [f"c{i}" for i in range(30)])
     root = list(range(len(made)))
 
@@ -425,6 +423,30 @@ def test_fuzzy_lines_match_brute_force(spark, monkeypatch, bucket):
     assert linked > 150 and got == {i for i in range(len(made)) if find(i) != i}
 
 
+@pytest.mark.parametrize("n, changed, least", [(5, 1, 0.999), (10, 2, 0.999), (30, 6, 0.999), (60, 12, 0.99), (100, 20, 0.99), (100, 10, 0.998)])
+def test_recall_of_candidates(n, changed, least):
+    """Pairs with ``changed`` of ``n`` words replaced by new ones: how many share a bucket and pass both bounds on bits."""
+    import numpy as np
+
+    rng, pairs = random.Random(n), 1500
+    made = []
+    for _ in range(pairs):
+        line = [b"w%d" % rng.randrange(3000) for _ in range(n)]
+        other = list(line)
+        for i in rng.sample(range(n), changed):
+            other[i] = b"new%d" % rng.randrange(10**9)
+        made += [line, other]
+    flat, sizes = lines.word_digests(made)
+    flat = lines.line_features(flat, sizes)
+    bits = np.unpackbits(lines.simhashes(flat, sizes).view(np.uint8), axis=1).astype(int)
+    keys, many = lines.word_blocks(flat, sizes, np.zeros(1 << lines.SLOT_BITS, np.uint8), 1)
+    own = [set(k.tolist()) for k in np.split(keys, np.cumsum(many)[:-1])]
+    apart = np.abs(bits[::2] - bits[1::2])
+    near = (apart[:, :64].sum(axis=1) <= lines.BITS_APART) & (apart.sum(axis=1) <= lines.WIDE_APART)
+    met = np.array([bool(a & b) for a, b in zip(own[::2], own[1::2])])
+    assert (near & met).mean() >= least
+
+
 def test_short_lines_go_if_equal(spark):
     data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
     df = spark.createDataFrame(data, "doc_id long, text string")
