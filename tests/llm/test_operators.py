@@ -401,9 +401,10 @@ def fuzzy_lines(rng, often):
     return [x for x in out if len(x) >= lines.MIN_WORDS]
 
 
-@pytest.mark.parametrize("pairs", [lines.ALL_PAIRS, 3])
-def test_fuzzy_lines_match_brute_force(spark, monkeypatch, pairs):
-    monkeypatch.setattr(lines, "ALL_PAIRS", pairs)  # 3: most buckets link to hubs
+@pytest.mark.parametrize("pairs, alike", [(lines.ALL_PAIRS, lines.ALIKE), (3, lines.ALIKE), (3, 2), (3, 0)])
+def test_fuzzy_lines_match_brute_force(spark, monkeypatch, pairs, alike):
+    monkeypatch.setattr(lines, "ALL_PAIRS", pairs)  # 3: most buckets are large
+    monkeypatch.setattr(lines, "ALIKE", alike)  # 2: all of them are split to the end, 0: all link to hubs
     made = fuzzy_lines(random.Random(5), [f"c{i}" for i in range(30)])
     root = list(range(len(made)))
 
