@@ -72,10 +72,11 @@ def run_summary(df: DataFrame, run: str) -> DataFrame:
 
 
 def comparison(df: DataFrame, key: str, names: list[str], metrics: list[str]) -> DataFrame:
-    """One row per metric, one column per checkpoint, and which is best (least)."""
+    """One row per metric, one column per named checkpoint, and which of these is best (least; missing values never, ties by name)."""
     long = df.select(key, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("x")).select(key, "x.metric", "x.v")
     wide = long.groupBy("metric").pivot(key, names).agg(F.first("v"))
-    best = long.groupBy("metric").agg(F.min(F.struct("v", F.col(key).cast("string").alias("k")))["k"].alias("best"))
+    known = F.col("v").isNotNull() & F.col(key).isin(names)
+    best = long.groupBy("metric").agg(F.min(F.when(known, F.struct("v", F.col(key).cast("string").alias("k"))))["k"].alias("best"))
     return wide.join(best, "metric")
 
 

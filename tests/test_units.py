@@ -292,6 +292,17 @@ def test_modes():
     assert catalog.resolve_mode("epoch:3") == ("epoch", 3) and catalog.resolve_mode("x.pt") == ("path", "x.pt")
 
 
+@pytest.mark.parametrize("data", [[("click", None), ("purchase", 2.0), ("view", 1.0)], [("view", 1.0)], [("click", 3.0), ("purchase", None), ("purchase", 4.0)], [("click", 5.0)]])
+def test_comparison_of_missing_values(spark, duck, tmp_path, same_rows, data):
+    from basewright.plans import registry
+
+    registry.load()
+    rows(spark, data, "event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    same_rows(registry.QUERIES["j07_comparison"](spark, str(tmp_path)).toPandas(), con.sql(registry.ORACLES["j07_comparison"]).df())
+
+
 def test_cosine_ends_at_its_floor(spark):
     got = [r.x for r in spark.range(101).select(curves.cosine(F.col("id"), 10, 100, 10).alias("x")).collect()]
     assert all(a >= b - 1e-12 for a, b in zip(got[10:], got[11:])) and abs(got[100] - 0.1) < 1e-12
