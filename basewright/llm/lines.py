@@ -18,8 +18,8 @@ still large at the end, link their lines to hubs instead.
 Members of a bucket whose lengths allow it and that are at most ``BITS_APART``
 of the first 64 bits and ``WIDE_APART`` of all bits apart are confirmed by
 their edit similarity over words; connected lines form a group, and the
-occurrence that comes first by (id, line number) stays. The frequencies come
-from a sample of bounded size; they decide the order, and so bucket sizes.
+occurrence that comes first by (id, line number) stays. The frequencies are
+counted over all lines; they decide the order, and so bucket sizes.
 
 Shorter lines have no fuzzy matches. With ``short`` exact repeats of them
 (by the normalised words) go too; blank lines always stay.
@@ -50,8 +50,8 @@ MIN_WORDS = 5
 BITS_APART, WIDE_APART = 29, 84
 #: Edit similarity, and the same as a fraction.
 SIMILARITY, PER = 0.8, (4, 5)
-#: Documents whose words are counted, and counters (a power of two).
-SAMPLE_DOCS, SLOT_BITS = 8_000, 20
+#: Counters of words, as a power of two.
+SLOT_BITS = 20
 #: Shares of the lines from which on a word comes later in the order, and the first words whose pairs are a line's keys.
 OFTEN, FIRST_WORDS = np.array([0.0005, 0.002, 0.01, 0.05]), 8
 #: Words of a key at most; keys of d words are made of the first FIRST_WORDS + 2 * (d - 2), which keeps the recall of pairs.
@@ -175,7 +175,6 @@ def _texts(batches: Iterator[pa.RecordBatch], step: int = 500):
 
 def word_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
     """(doc, text) to the levels of features (see first_words) and the lines counted."""
-    step = rows.count() // SAMPLE_DOCS + 1
 
     def run(batches):
         counts, n = np.zeros(1 << SLOT_BITS, np.int64), 0
@@ -187,8 +186,7 @@ def word_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n))], ["slot", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc"), F.lit(step)) == 0)
-    sums = small_batches(sample).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    sums = small_batches(rows).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = (np.asarray(sums[c]) for c in ("slot", "n"))
     levels = np.zeros(1 << SLOT_BITS, np.uint8)
     levels[slot[slot >= 0]] = np.minimum(255, np.round(8 * np.log2(1 + n[slot >= 0])))

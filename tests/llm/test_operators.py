@@ -448,6 +448,13 @@ def test_recall_of_candidates(n, changed, least):
     assert (near & met).mean() >= least
 
 
+def test_words_of_all_lines_are_counted(spark):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("doc"), F.concat(F.lit("a b c d w"), F.col("id")).alias("text"))
+    levels, counted = lines.word_counts(df)
+    assert counted == n and levels.max() == round(8 * math.log2(1 + n))
+
+
 def test_short_lines_go_if_equal(spark):
     data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
     df = spark.createDataFrame(data, "doc_id long, text string")
