@@ -1,47 +1,71 @@
 """Connected components and linking inside candidate buckets.
 
-Both only join and aggregate; no task sees a whole component or bucket, and
-nothing but row counts goes to the driver.
+Both join and aggregate; no task sees a whole bucket, nor more of a component
+than a bounded number of edges, and nothing but row counts goes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basewright.llm.common import ID_ROWS, small, stored
 
+#: Edges (16 bytes each) up to which one task ends a contraction.
+FEW_EDGES = 100_000
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
+def rooted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the edges (a, b) and the least id of each one's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def _ended(batches):
+    ends = [[np.asarray(batch[c]) for c in "ab"] for batch in batches if batch.num_rows]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rooted(*(np.concatenate(x) for x in zip(*ends)))], ["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, root for every id in ``edges`` (a, b: long); root is the component's least id.
 
     Contraction: each vertex moves to the neighbour that comes first in an order
-    drawn anew in each round, so any shape shrinks by a constant factor.
+    drawn anew in each round, so any shape shrinks by a constant factor; the last
+    ``FEW_EDGES`` are ended at once. Moves are put together from the last round
+    back to the first, so a vertex is joined only in rounds that it moved in.
     """
     edges = stored(edges.where("a <> b").distinct(), "edges")
-    total = labels = None
-    turn = 0
-    while edges.limit(1).count():
-        rank = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
+    rounds = []
+    while edges.limit(FEW_EDGES + 1).count() > FEW_EDGES:
+        rank = lambda c, turn=len(rounds): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
         near = _both(edges).groupBy("a").agg(F.min(rank("b")).alias("best"))
         moves = stored(near.select(F.col("a").alias("id"), F.least(F.col("best"), rank("a"))["v"].alias("to")), "moves")
-        if labels is None:
-            labels = moves.withColumnRenamed("to", "root")
-        else:
-            step = small(moves.select(F.col("id").alias("root"), "to"), ID_ROWS)
-            labels = stored(labels.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")), "labels")
+        rounds.append(moves)
         for end in "ab":
             step = small(moves.select(F.col("id").alias(end), F.col("to").alias("_to")), ID_ROWS)
             edges = edges.join(step, end).drop(end).withColumnRenamed("_to", end)
         edges = stored(edges.where("a <> b").distinct(), "edges")
-        turn += 1
-    if labels is None:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    labels = stored(edges.coalesce(1).mapInArrow(_ended, "id long, root long"), "labels")
+    if not rounds:
+        return labels
+    for moves in reversed(rounds):
+        labels = stored(moves.join(small(labels.withColumnRenamed("id", "to"), ID_ROWS), "to", "left").select("id", F.coalesce("root", "to").alias("root")), "labels")
     total = labels.groupBy("root").agg(F.min("id").alias("least"))
     return stored(labels.join(small(stored(total, "roots"), ID_ROWS), "root").select("id", F.col("least").alias("root")), "components")
 

@@ -19,7 +19,9 @@ Members of a bucket whose lengths allow it and that are at most ``BITS_APART``
 of the first 64 bits and ``WIDE_APART`` of all bits apart are confirmed by
 their edit similarity over words; connected lines form a group, and the
 occurrence that comes first by (id, line number) stays. The frequencies are
-counted over all lines; they decide the order, and so bucket sizes.
+counted over all lines; they decide the order, and so bucket sizes. In smaller
+buckets members that hang together within ``ALIKE_BITS`` of the first 64 bits
+link to hubs if they are over ``CROWDED``: copies give no row for each pair.
 
 Shorter lines have no fuzzy matches. With ``short`` exact repeats of them
 (by the normalised words) go too; blank lines always stay.
@@ -42,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basewright.llm.common import ID_ROWS, give_back, small, small_batches, stored, table
-from basewright.llm.groups import components, link_buckets
+from basewright.llm.groups import components, link_buckets, rooted
 
 MIN_WORDS = 5
 #: At similarity 0.8 a pair differs in 13 of 64 bits, and in more than 29 about once in a million;
@@ -61,6 +63,8 @@ ALL_PAIRS = 200
 #: Members that a large bucket is compared with, and the share of lines at most so many of 64 bits from one of them from which on
 #: it is linked, not split. Both ways find the same pairs; unrelated lines of frequent words are often within BITS_APART.
 HUBS, ALIKE, ALIKE_BITS = 8, 0.5, 16
+#: Members of a smaller bucket that are alike and from which on they link to hubs too.
+CROWDED = 8
 SIMS = ["sim", "sim2", "sim3", "sim4"]
 _LOOK = ["key", "n", "sim"]
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -264,6 +268,19 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
         fits = PER[1] * np.minimum(length[x], length[y]) >= PER[0] * np.maximum(length[x], length[y])
         return fits & (np.bitwise_count((sim[x] ^ sim[y]).view(np.uint64)) <= most)
 
+    def crowded(x, y, alike, v):
+        """Which pairs are inside one crowd, and the members of crowds: their crowd's name, by its members alone, and place."""
+        at, root = rooted(x[alike], y[alike])
+        order = np.argsort(root, kind="stable")
+        at, root = at[order], root[order]
+        first = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1]])) if len(root) else np.empty(0, np.int64)
+        many = np.diff(np.append(first, len(root)))
+        name = np.repeat(_mixed(np.add.reduceat(_mixed(v[at].view(np.uint64) * _MIX[0]), first) + many.astype(np.uint64)), many) if len(root) else np.empty(0, np.uint64)
+        big = np.repeat(many > CROWDED, many)
+        home = np.full(int(max(x.max(), y.max())) + 1, -1)
+        home[at[big]] = root[big]
+        return (home[x] >= 0) & (home[x] == home[y]), (name[big].view(np.int64), at[big])
+
     def meet(group, t):
         kinds = (np.uint32, np.uint16, np.uint8, np.int64, np.int32, np.int64)
         rows = [[np.frombuffer(x, k) for x, k in zip(r, kinds)] for r in zip(*(t[c].to_pylist() for c in ("block", "at", "last", *_LOOK)))]
@@ -279,19 +296,29 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
         for from_, many in zip(start[size > ALL_PAIRS], size[size > ALL_PAIRS]) if depth < MOST_WORDS else ():
             every = np.arange(from_, from_ + many)
             linked[every] = near(every[:, None], every[np.linspace(0, many - 1, HUBS).astype(int)], length, sim, ALIKE_BITS).mean(axis=0).max() >= ALIKE
-        pairs = []
+        pairs, crowds = [], []
         for width in np.unique(size[(size > 1) & (size <= ALL_PAIRS)]):
             at, (i, j) = start[size == width][:, None], np.triu_indices(width, 1)
             step = 1 + 300_000 // len(i)
             for from_ in range(0, len(at), step):
                 x, y = (at[from_ : from_ + step] + i).ravel(), (at[from_ : from_ + step] + j).ravel()
-                pairs.append(np.stack([v[x], v[y]], axis=1)[near(x, y, length, sim)])
+                ok = near(x, y, length, sim)
+                x, y = x[ok], y[ok]
+                if width > CROWDED and len(x):
+                    one, crowd = crowded(x, y, near(x, y, length, sim, ALIKE_BITS), v)
+                    x, y = x[~one], y[~one]
+                    crowds.append(crowd)
+                pairs.append(np.stack([v[x], v[y]], axis=1))
         pairs = np.concatenate([np.empty((0, 2), np.int64), *pairs])
         pairs = pairs[np.lexsort(pairs.T)]
         pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])[: len(pairs)]]
-        n, none = len(pairs), pa.nulls(int(keep.sum()), pa.int64())
+        names, at = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*crowds)) if crowds else (np.empty(0, np.int64),) * 2
+        once = np.unique(np.stack([names, v[at]], axis=1), axis=0, return_index=True)[1]
+        keep, linked = np.concatenate([np.flatnonzero(keep), at[once]]), np.concatenate([linked[keep], np.ones(len(once), bool)])
+        n, none = len(pairs), pa.nulls(len(keep), pa.int64())
         tag = group[0].as_py() << 32
-        out = {"key": (pa.nulls(n, pa.int64()), tag | key[keep]), "a": (pairs[:, 0], v[keep]), "b": (pairs[:, 1], none), "n": (pa.nulls(n, pa.int32()), length[keep]), "sim": (pa.nulls(n, pa.int64()), sim[keep]), "last": (pa.nulls(n, pa.int32()), pa.array(last[keep].astype(np.int32), mask=linked[keep]))}
+        bucket = np.concatenate([tag | key[keep[: len(keep) - len(once)]], names[once]])
+        out = {"key": (pa.nulls(n, pa.int64()), bucket), "a": (pairs[:, 0], v[keep]), "b": (pairs[:, 1], none), "n": (pa.nulls(n, pa.int32()), length[keep]), "sim": (pa.nulls(n, pa.int64()), sim[keep]), "last": (pa.nulls(n, pa.int32()), pa.array(last[keep].astype(np.int32), mask=linked))}
         return pa.table({c: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x) for x in both]) for c, both in out.items()})
 
     sent = small_batches(lines).mapInArrow(send, "part int, block binary, at binary, last binary, key binary, n binary, sim binary")
@@ -333,7 +360,7 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
         deeper = stored(shared_buckets(known.join(up, "key"), entries // RANGE_ENTRIES + 8, depth), "line-buckets")
         found, split = found.where("last is null").union(deeper), deeper.where("last is not null")
     near = found.where("b is not null").select("a", "b").distinct()
-    members = found.where("b is null").select("key", F.col("a").alias("v"), F.struct("n", "sim", F.lit(0).cast("long").alias("lead")).alias("d"))
+    members = found.where("b is null").select("key", F.col("a").alias("v"), F.struct("n", "sim", F.lit(0).cast("long").alias("lead")).alias("d")).distinct()
     ids = found.select(F.explode(F.array("a", "b")).alias("key")).where("key is not null").distinct()
     wanted = long.select("key", "doc", "line", "n", *SIMS).join(small(stored(ids, "line-ids"), ID_ROWS), "key", "left_semi")
     wanted = stored(wanted.groupBy("key").agg(F.min(F.struct("doc", "line", F.struct("n", *SIMS).alias("look"))).alias("at")), "line-looks")

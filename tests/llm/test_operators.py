@@ -216,6 +216,16 @@ def test_components_of_shapes(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and got[202] == 200 and 300 not in got
 
 
+@pytest.mark.parametrize("few", [0, 3, 100_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, few):
+    monkeypatch.setattr(groups, "FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500 + i, 501 + i) for i in range(60)]
+    want = reachable(600, lambda a, b, known={*edges, *((b, a) for a, b in edges)}: (a, b) in known)
+    got = {r.id: r.root for r in groups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: want[i] for e in edges if e[0] != e[1] for i in e}
+
+
 # substrings
 
 
@@ -455,6 +465,22 @@ def test_words_of_all_lines_are_counted(spark):
     assert counted == n and levels.max() == round(8 * math.log2(1 + n))
 
 
+def test_crowds_give_no_row_for_each_pair(spark):
+    rng = random.Random(3)
+    base, n = [f"w{i}" for i in range(40)], 120
+    made = []
+    for i in range(n):
+        line = list(base)
+        line[rng.randrange(40)] = f"x{i}"
+        made.append((i, " ".join(line)))
+    rows = stored(spark.createDataFrame(made, "doc long, text string"), "crowd")
+    all_lines = stored(lines.hashed_lines(rows), "crowd-lines")
+    found = lines.shared_buckets(all_lines.select("key", "n", "sim", "words"), 4).toPandas()
+    assert found.b.notna().sum() < n < n * (n - 1) / 2 / 10
+    removed = lines.dedup_lines(rows, "doc").where("n_removed = 1").count()
+    assert removed == n - 1
+
+
 def test_short_lines_go_if_equal(spark):
     data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
     df = spark.createDataFrame(data, "doc_id long, text string")
