@@ -42,6 +42,8 @@ BLOCK_ROWS, BLOCK_SYMBOLS = 4_000, 3_000_000
 RANGE_ENTRIES = 1_000_000
 #: Asked factors of one anchor beyond which they are spread over several shards.
 CROWD = 2_000
+#: Texts whose factors are routed together, and shards' worth of content in one of a crowd, whose windows are only sorted.
+ASK_ROWS, CROWD_SHARDS = 4_000, 4
 ENTRY = np.dtype([("anchor", "<u4"), ("digest", "<u8"), ("doc", "<u2"), ("run", "<u2")])
 
 
@@ -92,8 +94,8 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[:-rest], key[rest:]) if rest else key
 
 
-def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers, places_only: bool = False) -> Runs | None:
-    """The runs of a text, None if it is shorter than a window; ``places_only`` leaves out their digests."""
+def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers, places_only: bool = False, digests: bool = True) -> Runs | None:
+    """The runs of a text, None if it is shorter than a window; ``places_only`` leaves out anchors and digests, ``digests`` the latter."""
     n = len(symbols)
     if n < length:
         return None
@@ -112,6 +114,9 @@ def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers, places_onl
     count = np.diff(np.append(first, windows))
     if places_only:
         return Runs(first, count, first, first, sums, down)
+    anchor = mix(grams[at[first]] + np.uint64(1))  # minima crowd at the low end; mixed again they fill all ranges
+    if not digests:
+        return Runs(first, count, anchor, first, sums, down)
     half = (length - k + 1) // 2
     spot, stop = at[first], first + count - 1 + length
 
@@ -124,9 +129,8 @@ def runs_of(symbols: np.ndarray, k: int, length: int, powers: Powers, places_onl
     left, right = beside(spot - half, spot - half >= first), beside(spot + k, spot + k + half <= stop)
     place = (count.astype(np.uint64) << np.uint64(32)) | (at[first] - first).astype(np.uint64)
     whole = (sums[first + count - 1 + length] - sums[first]) * down[first]
-    # minima crowd at the low end; mixed again they fill all ranges
     digest = mix(whole ^ mix(place + np.uint64(1))) & ~np.uint64(0xFFFFFF) | left << np.uint64(12) | right
-    return Runs(first, count, mix(grams[at[first]] + np.uint64(1)), digest, sums, down)
+    return Runs(first, count, anchor, digest, sums, down)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], symbols: Callable) -> Iterator[list]:
@@ -316,28 +320,42 @@ def joined_spans(blobs: list[bytes] | None) -> np.ndarray:
 CONTENT = "shard int, docs binary, anchors binary, firsts binary, counts binary, content binary"
 
 
-def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length: int, shards: int, content: Callable) -> DataFrame:
+def ask_content(df: DataFrame, symbols: Callable[[], Callable], k: int, length: int, shards: int, crowds: int, content: Callable) -> DataFrame:
     """The asked factors of (doc, text, runs, crowd), routed to the shard of their anchor.
 
-    Those of ``crowd`` go to any shard, numbered from -1 down. ``content(text, runs, run)`` gives a factor's bytes.
+    Those of ``crowd`` go to any of ``crowds`` shards, numbered from -1 down. ``content(text, runs, run)`` gives a factor's bytes.
     """
 
+    def sliced(values: np.ndarray | bytes, edges: np.ndarray) -> pa.Array:
+        """Blobs of the bytes between edges."""
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(values)])
+
     def run(batches):
         sym, powers = symbols(), Powers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part, lots = batch.slice(at, 400), {}
+            for at in range(0, batch.num_rows, ASK_ROWS):
+                part, docs, places, found = batch.slice(at, ASK_ROWS), [], [], []
                 for doc, text, runs, crowd in zip(part["doc"].to_pylist(), part["text"].cast(pa.binary()), part["runs"].to_pylist(), part["crowd"].to_pylist()):
                     text = text.as_py()
-                    r = runs_of(sym(text), k, length, powers)
-                    here = [(i, int(r.anchor[i] >> np.uint64(32)) * shards >> 32) for i in joined_spans(runs)]
-                    here += [(i, -1 - int((r.digest[i] >> np.uint64(24)) % np.uint64(shards))) for i in joined_spans(crowd)]
-                    for i, shard in here:
-                        lots.setdefault(shard, []).append((doc, int(r.anchor[i]), int(r.first[i]), int(r.count[i]), content(text, r, i)))
-                for shard, rows in lots.items():
-                    cols = [np.array([x[j] for x in rows], t).tobytes() for j, t in ((0, "<i8"), (1, "<u8"), (2, "<i4"), (3, "<i4"))]
-                    row = [pa.array([shard], pa.int32()), *(pa.array([c], pa.binary()) for c in (*cols, b"".join(x[4] for x in rows)))]
-                    yield pa.RecordBatch.from_arrays(row, ["shard", "docs", "anchors", "firsts", "counts", "content"])
+                    asked, spread = joined_spans(runs), joined_spans(crowd)
+                    r = runs_of(sym(text), k, length, powers, digests=len(spread) > 0)
+                    shard = (r.anchor[asked] >> np.uint64(32)).astype(np.int64) * shards >> 32
+                    if len(spread):
+                        shard = np.append(shard, -1 - ((r.digest[spread] >> np.uint64(24)) % np.uint64(crowds)).astype(np.int64))
+                        asked = np.append(asked, spread)
+                    docs.append(np.full(len(asked), doc, np.int64))
+                    places.append((shard, r.anchor[asked], r.first[asked], r.count[asked]))
+                    found += [content(text, r, i) for i in asked.tolist()]
+                if not found:
+                    continue
+                shard, anchor, first, count = (np.concatenate(x) for x in zip(*places))
+                order = np.argsort(shard, kind="stable")
+                shard = shard[order]
+                edges = np.append(np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])), len(shard))
+                ends = np.append(0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found))[order]))
+                cols = [sliced(x[order].astype(t).tobytes(), edges * np.dtype(t).itemsize) for x, t in ((np.concatenate(docs), "<i8"), (anchor, "<u8"), (first, "<i4"), (count, "<i4"))]
+                cols.append(sliced(b"".join([found[i] for i in order.tolist()]), ends[edges]))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]], pa.int32()), *cols], ["shard", "docs", "anchors", "firsts", "counts", "content"])
 
     return small_batches(df).mapInArrow(run, CONTENT)
 
@@ -349,7 +367,7 @@ def _shard_arrays(table: pa.Table):
     return docs, get("anchors", "<u8"), counts, b"".join(table["content"].to_pylist()), np.repeat(docs, counts), starts
 
 
-def compared(content: DataFrame, compare: Callable, digests: Callable, smaller: bool, shards: int) -> DataFrame:
+def compared(content: DataFrame, compare: Callable, digests: Callable, smaller: bool, crowds: int) -> DataFrame:
     """Rows of FOUND, kind 2: spans of repeated window starts, by ``compare(docs, anchors, counts, content)``.
 
     ``compare`` gives a flag for every window, factor after factor. Shards of
@@ -375,10 +393,10 @@ def compared(content: DataFrame, compare: Callable, digests: Callable, smaller:
         # a window goes on once for each document that may be the smallest here, or else once with its number
         keep = owner[order] == np.repeat(owner[order][at], size) if smaller else np.ones(len(d), bool)
         o, many = order[keep], np.repeat(size, size)[keep]
-        part = (seen[o] >> np.uint64(32)).astype(np.int64) * shards >> 32
-        edges = np.searchsorted(part, np.arange(shards + 1))
+        part = (seen[o] >> np.uint64(32)).astype(np.int64) * crowds >> 32
+        edges = np.searchsorted(part, np.arange(crowds + 1))
         lost = order[~keep]
-        parts = [p for p in range(shards) if edges[p] < edges[p + 1]]
+        parts = [p for p in range(crowds) if edges[p] < edges[p + 1]]
         cut = lambda x, t: [x[edges[p] : edges[p + 1]].astype(t).tobytes() for p in parts]
         number = [table["shard"][0].as_py()] * len(parts)
         rows = {"part": pa.array(parts, pa.int32()), "shard": pa.array(number, pa.int32()), "digests": cut(seen[o], "<u8"), "docs": cut(owner[o], "<i8"), "starts": cut(starts[o], "<i4"), "many": cut(many, "<i4")}
@@ -386,26 +404,32 @@ def compared(content: DataFrame, compare: Callable, digests: Callable, smaller:
         kinds = pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((c, pa.binary()) for c in ("digests", "docs", "starts", "many"))])
         return pa.concat_tables([pa.table(rows, schema=kinds), pa.table(gone, schema=kinds)])
 
+    def both(one, other):
+        """Two sorted lists of distinct windows as one; the smaller document of a window stays, or its numbers are added."""
+        (known, value), (d, new) = one, other
+        place = np.searchsorted(known, d)
+        old = np.zeros(len(d), bool)
+        inside = place < len(known)
+        old[inside] = known[place[inside]] == d[inside]
+        value = value.copy()
+        value[place[old]] = np.minimum(value[place[old]], new[old]) if smaller else value[place[old]] + new[old]
+        return np.insert(known, place[~old], d[~old]), np.insert(value, place[~old], new[~old])
+
     def merge(table: pa.Table) -> pa.Table:
         lists = [[np.frombuffer(x, t) for x, t in zip(row, ("<u8", "<i8", "<i4", "<i4"))] for row in zip(*(table[c].to_pylist() for c in ("digests", "docs", "starts", "many")))]
         if table["part"][0].as_py() < 0:
             return _found(np.concatenate([x[1] for x in lists]), np.concatenate([x[2] for x in lists]), 2)
-        known, value = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for d, doc, _, many in lists:  # each sorted; what is known stays sorted
+        level = []
+        for d, doc, _, many in lists:  # each sorted
             at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-            d, new = d[at], (doc if smaller else many.astype(np.int64))[at]
-            place = np.searchsorted(known, d)
-            old = np.zeros(len(d), bool)
-            inside = place < len(known)
-            old[inside] = known[place[inside]] == d[inside]
-            value[place[old]] = np.minimum(value[place[old]], new[old]) if smaller else value[place[old]] + new[old]
-            known, value = np.insert(known, place[~old], d[~old]), np.insert(value, place[~old], new[~old])
-        out = []
-        for d, doc, start, _ in lists:
-            best = value[np.searchsorted(known, d)]
-            flags = best < doc if smaller else best > 1
-            out.append(_found(doc[flags], start[flags], 2))
-        return pa.concat_tables(out)
+            level.append((d[at], (doc if smaller else many.astype(np.int64))[at]))
+        while len(level) > 1:  # by twos, so that a window is moved only as often as their number can be halved
+            level = [both(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        known, value = level[0]
+        d, doc, start = (np.concatenate([x[i] for x in lists]) for i in range(3))
+        best = value[np.searchsorted(known, d)]
+        flags = best < doc if smaller else best > 1
+        return _found(doc[flags], start[flags], 2)
 
     spread = content.where("shard < 0").groupBy("shard").applyInArrow(crowd, sent)
     return content.where("shard >= 0").groupBy("shard").applyInArrow(shard, FOUND).union(spread.groupBy("part").applyInArrow(merge, FOUND))
@@ -417,10 +441,10 @@ def repeated_windows(df: DataFrame, symbols: Callable, k: int, length: int, smal
     ranges = max(16, int(symbols_seen * 2 / (length - k + 2)) // RANGE_ENTRIES)
     found = stored(settle(index_runs(df, symbols, k, length, ranges, smaller), smaller), "found")
     asked = per_document(found.where("kind <> 0"), "asked", runs=1, crowd=3)
-    volume = (found.where("kind <> 0").agg(F.sum("n")).first()[0] or 0) * factor_bytes
-    shards = max(16, volume // shard_bytes)
-    routed = stored(ask_content(df.join(asked, "doc"), symbols, k, length, shards, content), "factors")
-    single = compared(routed, compare, digests, smaller, shards)
+    volume = {r["kind"]: r["n"] * factor_bytes for r in found.where("kind <> 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    shards, crowds = max(16, volume.get(1, 0) // shard_bytes), max(16, volume.get(3, 0) // (CROWD_SHARDS * shard_bytes))
+    routed = stored(ask_content(df.join(asked, "doc"), symbols, k, length, shards, crowds, content), "factors")
+    single = compared(routed, compare, digests, smaller, crowds)
     total = per_document(found.where("kind = 0").union(single), "repeats", runs=0, starts=2)
     return df.join(total, "doc", "left")
 

@@ -272,6 +272,25 @@ def test_crowded_anchors_are_merged(docs, monkeypatch):
     assert got == want
 
 
+def test_factors_travel_in_one_row_a_shard(spark):
+    import numpy as np
+
+    rng, one = random.Random(4), [np.array([[0, 1]], np.int32).tobytes()]
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(120)) for _ in range(1_200)]
+    df = spark.createDataFrame([(i, t, one if i % 3 else [], [] if i % 3 else one) for i, t in enumerate(texts)], "doc long, text string, runs array<binary>, crowd array<binary>").coalesce(1)
+    content = lambda raw, r, run: raw[r.first[run] : r.first[run] + r.count[run] - 1 + 50]
+    got = repeats.ask_content(df, suffixes.byte_symbols, 20, 50, 6, 4, content).collect()
+    assert sorted(r.shard for r in got) == [*range(-4, 0), *range(6)]
+    seen = {}
+    for r in got:
+        at = 0
+        for doc, first, count in zip(np.frombuffer(r.docs, "<i8").tolist(), np.frombuffer(r.firsts, "<i4").tolist(), np.frombuffer(r.counts, "<i4").tolist()):
+            seen[doc] = (r.shard < 0, bytes(r.content[at : at + count + 49]) == texts[doc].encode()[first : first + count + 49])
+            at += count + 49
+        assert at == len(r.content)
+    assert seen == {i: (i % 3 == 0, True) for i in range(1_200)}
+
+
 def test_suffix_array_of_random_strings():
     import numpy as np
 
