@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from basewright.functions import draw
 from basewright.operators import metrics, tokens, windows
+from basewright.operators.base import scratch
 
 
 def train_test(df: DataFrame, label: str, key: str, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -55,13 +57,24 @@ def regression_probe(train: DataFrame, test: DataFrame, alpha: float = 1.0) -> D
 
 def handcrafted_suite(df: DataFrame, label_columns: list[str], seed: int = 3) -> DataFrame:
     """One row per label column: the probe on length, GC and 3-mer shares, and on drawn features."""
-    feats = tokens.kmer_features(df).select("file", "record_idx", F.concat(F.array(F.col("length").cast("double"), "gc"), F.col("freqs")).alias("features"))
-    out = None
-    for name in label_columns:
-        rows = df.select("file", "record_idx", F.col(name).alias("label")).join(feats, ["file", "record_idx"])
-        noise = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: draw.uniform(seed, F.col("record_idx"), i))
-        for kind, d in (("handcrafted", rows), ("random", rows.withColumn("features", noise))):
-            one = classification_probe(*train_test(d, "label", "record_idx", seed)).select(F.lit(name).alias("dataset"), F.lit(kind).alias("probe"), "*")
+    path = f"{scratch(df.sparkSession)}/probes-{uuid.uuid4().hex}"
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        """Written and read back, since each step of each fit reads its rows anew."""
+        rows.write.parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+    feats = tokens.kmer_features(df).select("file", "record_idx", F.concat(F.array(F.col("length").cast("double"), "gc"), F.col("freqs")).alias("handcrafted"))
+    noise = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: draw.uniform(seed, F.col("record_idx"), i))
+    feats = stored(feats.withColumn("random", noise), "features")
+    labels, out = stored(df.select("file", "record_idx", *label_columns), "labels"), None
+    for i, name in enumerate(label_columns):
+        rows = labels.select("file", "record_idx", F.col(name).alias("label"))
+        split = windows.stratified_split(rows, "label", "record_idx", seed).join(feats, ["file", "record_idx"])
+        split = stored(split, f"split-{i}")
+        for kind in ("handcrafted", "random"):
+            train, test = (split.where(F.col("split") == side).select("label", F.col(kind).alias("features")) for side in ("train", "test"))
+            one = classification_probe(train, test).select(F.lit(name).alias("dataset"), F.lit(kind).alias("probe"), "*")
             out = one if out is None else out.unionByName(one)
     return out
 

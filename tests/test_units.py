@@ -251,6 +251,35 @@ def test_probes(spark):
     assert probes.regression_probe(line, rows(spark, [([3.0], 3.0), ([4.0], 4.0)], "features array<double>, y double")).first().r2 is not None
 
 
+def test_suite_reads_its_sequences_twice_at_most(spark):
+    import pandas as pd
+
+    seen, n = spark.sparkContext.accumulator(0), 40
+
+    @F.pandas_udf("string")
+    def read(ids: pd.Series) -> pd.Series:
+        seen.add(len(ids))
+        return ids.map(lambda i: "ACGT" * 5 + "AC" * (i % 7) + "GN" * (i % 3))
+
+    df = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("record_idx"), F.explode(F.array(read("id"))).alias("seq"), (F.col("id") % 2).cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    got = probes.handcrafted_suite(df, ["a", "b"]).collect()
+    assert sorted((r.dataset, r.probe) for r in got) == [(x, y) for x in "ab" for y in ("handcrafted", "random")]
+    assert n <= seen.value <= 2 * n
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_kmer_shares_of_odd_sequences(spark, k):
+    seqs = [None, "", "AC", "ACGT", "NNACGTN", "acgtACG", "AAAéAAA", "AAA😀CCC"]
+    got = tokens.kmer_features(rows(spark, [("f", i, s) for i, s in enumerate(seqs)], "file string, record_idx long, seq string"), k).collect()
+    words = [""]
+    for _ in range(k):
+        words = [w + b for w in words for b in "ACGT"]
+    for r in got:
+        s = seqs[r.record_idx] or ""
+        found = Counter(s[i : i + k] for i in range(len(s) - k + 1))
+        assert r.freqs == [found[w] / max(1, len(s) - k + 1) for w in words]
+
+
 def test_registered_tokenizer():
     assert probes.tokenizer("base") is tokens.encode_base
     with pytest.raises(ValueError):
