@@ -38,7 +38,6 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -213,6 +212,25 @@ def words_of(text: str) -> list[str]:
     return out
 
 
+def numbered_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of ``words_of`` in the order in which they come, a line feed first; the number of each word of the texts, text after text; the words of each text."""
+    raw = [t.encode() for t in texts]
+    # a space begins a text (an empty one has no words), a line feed the whole, which makes it word 0
+    data = np.frombuffer(b"\n" + b"".join(b" " + t if t else t for t in raw), np.uint8)
+    size = np.array([len(t) + 1 if t else 0 for t in raw], np.int64)
+    del raw
+    feed, space = data == 10, data == 32
+    begins = feed.copy()
+    begins[1:] |= feed[:-1] | (space[1:] & ~space[:-1])
+    ends = 1 + np.cumsum(size)
+    begins[(ends - size)[size > 0]] = True
+    at = np.flatnonzero(begins).astype(np.int32)
+    del feed, space, begins
+    counts = np.diff(np.searchsorted(at, np.append(1, ends)))
+    words = pa.Array.from_buffers(pa.utf8(), len(at), [None, pa.py_buffer(np.append(at, np.int32(len(data)))), pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary.to_pylist(), words.indices.to_numpy()[1:].astype(np.uint32), counts
+
+
 #: Marks a cut inside a word; no text has it.
 _CUT = "\ud800"
 
@@ -239,14 +257,6 @@ class Cutter:
         return marked.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
-class _Numbers(dict):
-    """Numbers for words, in the order in which they are first seen."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
 def _block_parts(marked: str, parts: int) -> tuple[list[str], np.ndarray]:
     """The distinct parts of up to LONG characters of marked words, by the number of their shuffle part, and these numbers."""
     found = [x for x in dict.fromkeys(marked.replace(_CUT, "\n").split("\n")) if 0 < len(x) <= LONG]
@@ -281,10 +291,13 @@ def _send(df: DataFrame, text: str, parts: int, cutter: Cutter) -> DataFrame:
     """
 
     def run(batches):
-        held, codes, counts, numbers, size, number = [], [], [], _Numbers({"\n": 0}), 0, TaskContext.get().partitionId() << 24
+        held, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 24
 
         def done():
-            block, marked = parts + number, cutter(list(numbers)[1:])  # number 0 is the line feed
+            block, none = parts + number, np.array([t is None for t in texts], bool)
+            known, codes, counts = numbered_words([t or "" for t in texts])
+            texts.clear()
+            marked = cutter(known[1:])  # number 0 is the line feed
             words, part = _block_parts(marked, parts)
             edges = np.searchsorted(part, np.arange(parts + 1))
             filled = [p for p in range(parts) if edges[p] < edges[p + 1]]
@@ -292,28 +305,25 @@ def _send(df: DataFrame, text: str, parts: int, cutter: Cutter) -> DataFrame:
                 some = filled[at : at + 64]
                 blobs = ["\n".join(words[edges[p] : edges[p + 1]]) for p in some]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), pa.array(blobs), pa.nulls(len(some), pa.binary())], _SENT)
-            rows = pa.Table.from_batches(held).append_column("ids", pa.array(counts, pa.int64()))
-            data = _packed_rows(rows, np.concatenate([np.empty(0, np.uint32), *codes]), marked)
+            rows = pa.Table.from_batches(held).append_column("ids", pa.array(counts, pa.int64(), mask=none))
+            data = _packed_rows(rows, codes, marked)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([block], pa.int64()), pa.nulls(1, pa.string()), pa.array([data], pa.binary())], _SENT)
 
         for batch in batches:
             at, rest = 0, batch.select([c for c in batch.schema.names if c != text])
-            for i, x in enumerate(batch[text]):
-                t = x.as_py()
-                found = words_of(t) if t else []
-                counts.append(None if t is None else len(found))
-                codes.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+            for i, t in enumerate(batch[text].to_pylist()):
+                texts.append(t)
                 size += len(t or "")
                 if size > BLOCK_CHARS:
                     held.append(rest.slice(at, i + 1 - at))
                     yield from done()
-                    held, codes, counts, numbers, size, number, at = [], [], [], _Numbers({"\n": 0}), 0, number + 1, i + 1
+                    held, size, number, at = [], 0, number + 1, i + 1
                     give_back()
             if at < batch.num_rows:
                 held.append(rest.slice(at))
         if held:
             yield from done()
-        held, codes, numbers = [], [], {}
+        held = []
         give_back()
 
     return small_batches(df).mapInArrow(run, "part long, block long, words string, data binary")
@@ -357,8 +367,11 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
     known = encode_words(distinct, model).select(F.col("part").alias("own_part"), "word", "ids", "seen")
     narrow = np.dtype("<u2" if len(model.hexes) <= 1 << 16 else "<i4")
 
+    def only(some: Column, what: str) -> DataFrame:
+        """The rows of ``sent`` with ``some``, where they are; a plain filter would slip below the shuffle, and need one of its own."""
+        return sent.select("part", F.explode(F.when(some, F.array(F.struct("block", what)))).alias("s")).select("part", "s.block", f"s.{what}")
+
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.filter(pc.is_null(left["data"]))
         ids = right["ids"].combine_chunks()
         offsets = ids.offsets.to_numpy() if len(ids) else np.zeros(1, np.int32)
         flat, number = ids.values.to_numpy().astype(narrow) if len(ids) else np.empty(0, narrow), {w: i for i, w in enumerate(right["word"].to_pylist())}
@@ -371,7 +384,8 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
         give_back()
         return pa.table({"block": left["block"], "part": left["part"], "counts": pa.array(counts, pa.binary()), "ids": pa.array(out, pa.binary())})
 
-    answers = sent.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part long, counts binary, ids binary")
+    asked = only(F.col("data").isNull(), "words")
+    answers = asked.groupBy("part").cogroup(known.groupBy("own_part")).applyInArrow(answer, "block long, part long, counts binary, ids binary")
     feed = np.array([next((i for p, i, _ in model.pieces if p == "\n"), model.bytes_at + 10)], "<i4").tobytes()
     schema = StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))])
 
@@ -379,8 +393,6 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
         by_part = {p: (c, i) for p, c, i in zip(*(right[n].to_pylist() for n in ("own_part", "counts", "ids")))}
         out = []
         for data in left["data"].to_pylist():
-            if data is None:
-                continue
             rows, codes, raw = _unpacked_rows(data)
             marked = raw.decode("utf-8", "surrogatepass")
             words, part = _block_parts(marked, parts)
@@ -409,7 +421,8 @@ def encode(df: DataFrame, text: str = "text", model_path: str = MODEL) -> DataFr
         return pa.concat_tables(out) if out else pa.schema([]).empty_table()
 
     back = answers.select(F.col("block").alias("own_block"), F.col("part").alias("own_part"), "counts", "ids")
-    return sent.groupBy("part").cogroup(back.groupBy("own_block")).applyInArrow(apply, schema)
+    blocks = only(F.col("data").isNotNull() & F.col("words").isNull(), "data")
+    return blocks.groupBy("part").cogroup(back.groupBy("own_block")).applyInArrow(apply, schema)
 
 
 def decode(ids: Column, model_path: str = MODEL) -> Column:

@@ -356,6 +356,22 @@ def test_pieces_over_many_blocks(spark, docs, texts, monkeypatch):
     assert len(got) == len(texts) and got == want
 
 
+def test_words_of_a_block_are_numbered_without_python_words():
+    rng = random.Random(5)
+    for _ in range(300):
+        made = ["".join(rng.choice([" ", "  ", "\n", "a", "é"]) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        known, numbers, counts = pieces.numbered_words(made)
+        want = [pieces.words_of(t) if t else [] for t in made]
+        assert known[0] == "\n" and [known[i] for i in numbers] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
+
+
+def test_words_meet_without_the_rows_of_their_blocks(spark, docs):
+    """The rows travel under the blocks' own numbers; Python gets none of them where words get their ids."""
+    plan = pieces.encode(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "answer(part" in plan and not re.search(r"answer\([^)]*\bdata#", plan)
+    assert not re.search(r"apply\([^)]*\bwords#", plan)
+
+
 def test_pieces_of_one_long_word(spark):
     rng = random.Random(5)
     blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000))
