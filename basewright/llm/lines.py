@@ -16,7 +16,7 @@ share, which is among the first n // 5 + 3 of each, and once more by the fourth;
 lines of 5 words share no more. Buckets whose lines are mostly alike, and those
 still large at the end, link their lines to hubs instead.
 Members of a bucket whose lengths allow it and that are at most ``BITS_APART``
-of the first 64 bits and ``WIDE_APART`` of all bits apart are confirmed by
+of the first 64 bits, ``HALF_APART`` of 128 and ``WIDE_APART`` of all bits apart are confirmed by
 their edit similarity over words; connected lines form a group, and the
 occurrence that comes first by (id, line number) stays. The frequencies are
 counted over all lines; they decide the order, and so bucket sizes. In smaller
@@ -50,6 +50,9 @@ MIN_WORDS = 5
 #: At similarity 0.8 a pair differs in 13 of 64 bits, and in more than 29 about once in a million;
 #: so it does in more than 84 of 256, where it differs in 52.
 BITS_APART, WIDE_APART = 29, 84
+#: The same of the first 128 bits, where it differs in 26. Unrelated lines are within it three times in a thousand, but
+#: within BITS_APART of 64 bits one time in four: of the latter a bucket would give a row for every fourth pair.
+HALF_APART = 49
 #: Edit similarity, and the same as a fraction.
 SIMILARITY, PER = 0.8, (4, 5)
 #: Counters of words, as a power of two.
@@ -66,7 +69,7 @@ HUBS, ALIKE, ALIKE_BITS = 8, 0.5, 16
 #: Members of a smaller bucket that are alike and from which on they link to hubs too.
 CROWDED = 8
 SIMS = ["sim", "sim2", "sim3", "sim4"]
-_LOOK = ["key", "n", "sim"]
+_LOOK = ["key", "n", "sim", "sim2"]
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bucket entries that one range holds on average, and bytes of removals that may be broadcast.
 RANGE_ENTRIES = 1_000_000
@@ -133,8 +136,8 @@ def key_words(sizes: np.ndarray, depth: int) -> np.ndarray:
     return np.where(sizes >= MIN_WORDS, np.minimum(sizes // 5 + depth, FIRST_WORDS + 2 * (depth - 2)), 0)
 
 
-def first_words(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, counted: int) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of the words that keys are made of, line after line, frequent words coming last, and how many each line has.
+def first_words(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, counted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digests of the words that keys are made of, line after line, frequent words coming last, how many each line has, and how many rare ones.
 
     ``levels`` has the counts of features in ``counted`` lines by their top bits, as eighths of a power of two.
     """
@@ -144,7 +147,8 @@ def first_words(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, counted
     flat = _mixed(flat * _MIX[0])
     order = np.argsort(owner.astype(np.uint64) << np.uint64(40) | often << np.uint64(36) | flat >> np.uint64(28))
     rank, many = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[owner], key_words(sizes, MOST_WORDS)
-    return flat[order][rank < many[owner]].astype(np.uint32), many
+    rare = np.bincount(owner[often == 0], minlength=len(sizes))
+    return flat[order][rank < many[owner]].astype(np.uint32), many, np.minimum(rare, many)
 
 
 def longer_keys(words: np.ndarray, many: np.ndarray, sizes: np.ndarray, depth: int, key: np.ndarray, last: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,9 +167,17 @@ def pair_keys(words: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[n
     return longer_keys(words, many, sizes, 2, words.astype(np.uint64), rank, owner)
 
 
+def home_ranges(words: np.ndarray, many: np.ndarray, sizes: np.ndarray, rare: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """What decides the range of each key of ``pair_keys``: its first word if that is rare, so that a line goes to few ranges, else the key."""
+    owner = np.repeat(np.arange(len(many)), many)
+    rank = np.arange(len(words)) - (np.cumsum(many) - many)[owner]
+    more = np.maximum(0, key_words(sizes, 2)[owner] - 1 - rank)
+    return np.where(np.repeat(rank < rare[owner], more), _mixed(np.repeat(words, more).astype(np.uint64) * _MIX[0]), key)
+
+
 def word_blocks(flat: np.ndarray, sizes: np.ndarray, levels: np.ndarray, counted: int) -> tuple[np.ndarray, np.ndarray]:
     """The keys of two words (sorted by line) and how many each line has."""
-    key, _, owner = pair_keys(*first_words(flat, sizes, levels, counted), sizes)
+    key, _, owner = pair_keys(*first_words(flat, sizes, levels, counted)[:2], sizes)
     return key.view(np.int64), np.bincount(owner, minlength=len(sizes))
 
 
@@ -198,7 +210,7 @@ def word_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def hashed_lines(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc, text) to doc, line, key, n, sim to sim4, words: a row per line of ``least`` words.
+    """(doc, text) to doc, line, key, n, sim to sim4, words, rare: a row per line of ``least`` words.
 
     Lines of fewer than MIN_WORDS words have no words for keys.
     """
@@ -219,50 +231,57 @@ def hashed_lines(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                 flat, sizes = word_digests(found)
                 flat = line_features(flat, sizes)
                 sims = simhashes(flat, sizes)
-                first, many = first_words(flat, sizes, levels, counted)
+                first, many, rare = first_words(flat, sizes, levels, counted)
                 words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(first.view(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(sims[:, i].copy()) for i in range(4)), words],
-                    ["doc", "line", "key", "n", *SIMS, "words"],
+                    [pa.array(doc, pa.int64()), pa.array(line, pa.int32()), pa.array(key, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(sims[:, i].copy()) for i in range(4)), words, pa.array(rare, pa.int32())],
+                    ["doc", "line", "key", "n", *SIMS, "words", "rare"],
                 )
 
-    return small_batches(rows).mapInArrow(run, "doc long, line int, key long, n int, sim long, sim2 long, sim3 long, sim4 long, words array<int>")
+    return small_batches(rows).mapInArrow(run, "doc long, line int, key long, n int, sim long, sim2 long, sim3 long, sim4 long, words array<int>, rare int")
 
 
 def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
-    """(key, n, sim, words) to key, a, b, n, sim, last: pairs near each other (a, b), and the members (a) of large buckets.
+    """(key, n, sim, sim2, words, rare) to key, a, b, n, sim, last: pairs near each other (a, b), and the members (a) of large buckets.
 
     Of members ``last`` has the place of the key's last word if the bucket is to be split, else null. From a
     ``depth`` of three words on, ``up`` (key, last) lists the buckets to split. A line travels once to each
-    range that has one of its keys.
+    range that has one of its keys; those of a rare first word have one range, so ranges don't multiply with
+    the keys. Without ``sim2`` pairs are held to the first 64 bits, without ``rare`` each key has its own range.
     """
+    look = [c for c in _LOOK if c in lines.columns]
 
     def keys_of(cut):
         words, many = np.asarray(cut["words"].flatten()).view(np.uint32), np.asarray(cut["words"].value_lengths())
         sizes = np.asarray(cut["n"])
         if depth == 2:
-            return pair_keys(words, many, sizes)
+            key, last, owner = pair_keys(words, many, sizes)
+            rare = np.asarray(cut["rare"]) if "rare" in cut.schema.names else np.zeros(len(sizes), np.int32)
+            return key, last, owner, home_ranges(words, many, sizes, rare, key)
         up = cut["up"].flatten()
         owner = np.repeat(np.arange(cut.num_rows), np.asarray(cut["up"].value_lengths()))
-        return longer_keys(words, many, sizes, depth, np.asarray(up.field("key")).view(np.uint64), np.asarray(up.field("last")), owner)
+        key, last, owner = longer_keys(words, many, sizes, depth, np.asarray(up.field("key")).view(np.uint64), np.asarray(up.field("last")), owner)
+        return key, last, owner, key
 
     def send(batches):
         for batch in batches:
             for from_ in range(0, batch.num_rows, 20_000):
                 cut = batch.slice(from_, 20_000)
                 cut = cut.take(pa.array(np.unique(np.asarray(cut["key"]), return_index=True)[1]))  # equal lines once
-                key, last, owner = keys_of(cut)
-                part = ((key >> np.uint64(32)).astype(np.int64) * ranges) >> 32
+                key, last, owner, home = keys_of(cut)
+                part = ((home >> np.uint64(32)).astype(np.int64) * ranges) >> 32
                 order = np.lexsort((owner, part))
                 key, last, owner = key[order].astype(np.uint32), last[order].astype(np.uint8), owner[order]
                 edges = np.searchsorted(part[order], np.arange(ranges + 1))
                 parts = [p for p in range(ranges) if edges[p] < edges[p + 1]]
-                values, rows = [np.asarray(cut[c]) for c in _LOOK], []
+                values, rows = [np.asarray(cut[c]) for c in look], []
                 for p in parts:
                     here = slice(edges[p], edges[p + 1])
-                    used, local = np.unique(owner[here], return_inverse=True)
-                    rows.append([key[here].tobytes(), local.astype(np.uint16).tobytes(), last[here].tobytes(), *(x[used].tobytes() for x in values)])
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows))] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * 6], ["part", "block", "at", "last", *_LOOK])
+                    own = owner[here]
+                    new = np.append(True, own[1:] != own[:-1])  # owners are in order
+                    used = own[new]
+                    rows.append([key[here].tobytes(), np.packbits(new).tobytes(), last[here].tobytes(), *(x[used].tobytes() for x in values)])
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows))] if rows else [pa.array([], pa.int32()), *[pa.array([], pa.binary())] * (3 + len(look))], ["part", "block", "new", "last", *look])
 
     def near(x, y, length, sim, most=BITS_APART):
         fits = PER[1] * np.minimum(length[x], length[y]) >= PER[0] * np.maximum(length[x], length[y])
@@ -282,14 +301,16 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
         return (home[x] >= 0) & (home[x] == home[y]), (name[big].view(np.int64), at[big])
 
     def meet(group, t):
-        kinds = (np.uint32, np.uint16, np.uint8, np.int64, np.int32, np.int64)
-        rows = [[np.frombuffer(x, k) for x, k in zip(r, kinds)] for r in zip(*(t[c].to_pylist() for c in ("block", "at", "last", *_LOOK)))]
+        kinds = (np.uint32, np.uint8, np.uint8, np.int64, np.int32, np.int64, np.int64)
+        rows = [[np.frombuffer(x, k) for x, k in zip(r, kinds)] for r in zip(*(t[c].to_pylist() for c in ("block", "new", "last", *look)))]
         key, last = np.concatenate([r[0] for r in rows]).astype(np.int64), np.concatenate([r[2] for r in rows])
-        v, length, sim = (np.concatenate([r[i][r[1]] for r in rows]) for i in range(3, 6))
+        at = [np.cumsum(np.unpackbits(r[1], count=len(r[0])), dtype=np.int64) - 1 for r in rows]
+        v, length, *sims = (np.concatenate([r[i][x] for r, x in zip(rows, at)]) for i in range(3, 3 + len(look)))
         order = np.lexsort((v, key))
-        key, last, v, length, sim = (x[order] for x in (key, last, v, length, sim))
+        key, last, v, length, *sims = (x[order] for x in (key, last, v, length, *sims))
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (v[1:] != v[:-1])])
-        key, last, v, length, sim = (x[new] for x in (key, last, v, length, sim))
+        key, last, v, length, *sims = (x[new] for x in (key, last, v, length, *sims))
+        sim = sims[0]
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(start, len(key)))
         keep, linked = np.repeat(size > ALL_PAIRS, size), np.full(len(key), depth == MOST_WORDS)
@@ -304,6 +325,9 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
                 x, y = (at[from_ : from_ + step] + i).ravel(), (at[from_ : from_ + step] + j).ravel()
                 ok = near(x, y, length, sim)
                 x, y = x[ok], y[ok]
+                if len(sims) > 1:
+                    ok = sum(np.bitwise_count((z[x] ^ z[y]).view(np.uint64)) for z in sims) <= HALF_APART
+                    x, y = x[ok], y[ok]
                 if width > CROWDED and len(x):
                     one, crowd = crowded(x, y, near(x, y, length, sim, ALIKE_BITS), v)
                     x, y = x[~one], y[~one]
@@ -321,7 +345,7 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
         out = {"key": (pa.nulls(n, pa.int64()), bucket), "a": (pairs[:, 0], v[keep]), "b": (pairs[:, 1], none), "n": (pa.nulls(n, pa.int32()), length[keep]), "sim": (pa.nulls(n, pa.int64()), sim[keep]), "last": (pa.nulls(n, pa.int32()), pa.array(last[keep].astype(np.int32), mask=linked))}
         return pa.table({c: pa.chunked_array([x if isinstance(x, pa.Array) else pa.array(x) for x in both]) for c, both in out.items()})
 
-    sent = small_batches(lines).mapInArrow(send, "part int, block binary, at binary, last binary, key binary, n binary, sim binary")
+    sent = small_batches(lines).mapInArrow(send, ", ".join(["part int", *(f"{c} binary" for c in ("block", "new", "last", *look))]))
     return sent.groupBy("part").applyInArrow(meet, "key long, a long, b long, n int, sim long, last int")
 
 
@@ -347,7 +371,7 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
     long = lines.where(F.col("n") >= MIN_WORDS)
     pairs = F.least(F.floor(F.col("n") / 5) + 2, F.lit(FIRST_WORDS))
     entries = long.agg(F.sum((pairs * (pairs - 1) / 2).cast("long"))).first()[0] or 0
-    found = stored(shared_buckets(long.select("key", "n", "sim", "words"), entries // RANGE_ENTRIES + 8), "line-buckets")
+    found = stored(shared_buckets(long.select("key", "n", "sim", "sim2", "words", "rare"), entries // RANGE_ENTRIES + 8), "line-buckets")
     split, known = found.where("last is not null"), None
     for depth in range(3, MOST_WORDS + 1):
         entries = split.count() * FIRST_WORDS
@@ -355,7 +379,7 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
             break
         up = stored(split.groupBy(F.col("a").alias("key")).agg(F.collect_list(F.struct("key", "last")).alias("up")), "line-splits")
         if known is None:  # later splits are of the same lines
-            few = long.select("key", "n", "sim", "words").join(small(up.select("key"), ID_ROWS), "key", "left_semi")
+            few = long.select("key", "n", "sim", "sim2", "words").join(small(up.select("key"), ID_ROWS), "key", "left_semi")
             known = stored(few.dropDuplicates(["key"]), "line-words")
         deeper = stored(shared_buckets(known.join(up, "key"), entries // RANGE_ENTRIES + 8, depth), "line-buckets")
         found, split = found.where("last is null").union(deeper), deeper.where("last is not null")

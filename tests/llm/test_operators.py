@@ -516,6 +516,15 @@ def test_crowds_give_no_row_for_each_pair(spark):
     assert removed == n - 1
 
 
+def test_unrelated_lines_of_a_bucket_give_few_rows(spark):
+    """Of 64 bits unrelated lines share enough one time in four or more, so buckets gave rows for most of their pairs."""
+    rng, n = random.Random(7), 3000
+    made = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20))) for i in range(n)]
+    rows = stored(spark.createDataFrame(made, "doc long, text string"), "unrelated")
+    found = lines.shared_buckets(stored(lines.hashed_lines(rows), "unrelated-lines"), 4)
+    assert found.where("b is not null").count() < 10 * n  # 84,901 by 64 bits, 21,744 by 128
+
+
 def test_short_lines_go_if_equal(spark):
     data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
     df = spark.createDataFrame(data, "doc_id long, text string")
