@@ -334,12 +334,14 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _spread(known: list[bytes], codes: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of the words with the given numbers, and where, in units of ``width``, each row ends; the rows end at ``stop`` numbers."""
-    sizes = np.array([len(k) for k in known], np.int64) // width
-    flat = np.frombuffer(b"".join(known), np.uint8 if width == 1 else "<i4")
-    starts = np.cumsum(sizes) - sizes
-    ends = np.append(0, np.cumsum(sizes[codes]))
-    return _gathered(flat, starts[codes], sizes[codes]), ends[np.append(0, stop)]
+    """The bytes of the words with the given numbers, and where, in units of ``width``, each row ends; the rows end at ``stop`` numbers.
+
+    Arrow copies word by word: places of single bytes in numpy would take 24 bytes for each of them.
+    """
+    found = pa.array(known, pa.large_binary()).take(pa.array(codes))
+    _, ends, letters = found.buffers()
+    ends = np.frombuffer(ends, np.int64, len(found) + 1)[np.append(0, stop)]
+    return np.frombuffer(letters, np.uint8, int(ends[-1])), ends // width
 
 
 def _valid(none: np.ndarray):

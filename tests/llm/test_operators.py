@@ -6,8 +6,10 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -365,6 +367,24 @@ def test_words_of_a_block_are_numbered_without_python_words():
         assert known[0] == "\n" and [known[i] for i in numbers] == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
 
 
+def test_words_are_spread_without_a_number_for_each_byte():
+    rng = np.random.default_rng(5)
+    known, codes = [b"\n", b"", *(b"%08d" % i for i in range(1000))], rng.integers(0, 1002, 300_000).astype(np.uint32)
+    stop = np.array([0, 7, 7, 150_000, 300_000])
+    tracemalloc.start()
+    letters, ends = pieces._spread(known, codes, stop, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert letters.tobytes() == b"".join(known[i] for i in codes)
+    assert ends.tolist() == [0, *(len(b"".join(known[i] for i in codes[:n])) for n in stop)]
+    assert peak < 4 * len(letters)  # 24 bytes for each one before
+    ids, ends = pieces._spread(known, codes[:9], np.array([9]), 4)
+    assert ids.tobytes() == b"".join(known[i] for i in codes[:9]) and ends.tolist() == [0, len(ids) // 4]
+    for none in ([], [0, 0]):
+        letters, ends = pieces._spread([b"\n"], np.empty(0, np.uint32), np.array(none, np.int64), 1)
+        assert not len(letters) and ends.tolist() == [0, *none]
+
+
 def test_words_meet_without_the_rows_of_their_blocks(spark, docs):
     """The rows travel under the blocks' own numbers; Python gets none of them where words get their ids."""
     plan = pieces.encode(docs.select("doc_id", "text"))._jdf.queryExecution().optimizedPlan().toString()
