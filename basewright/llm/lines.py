@@ -39,7 +39,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +55,9 @@ HALF_APART = 49
 #: Edit similarity, and the same as a fraction.
 SIMILARITY, PER = 0.8, (4, 5)
 #: Counters of words, as a power of two.
-SLOT_BITS = 20
+SLOT_BITS, COUNT_SLICES = 20, 64
+#: Bits for each place that a text is searched for, at least, and bits of a slice of them.
+PLACE_BITS, SLICE_BITS = 16, 16
 #: Shares of the lines from which on a word comes later in the order, and the first words whose pairs are a line's keys.
 OFTEN, FIRST_WORDS = np.array([0.0005, 0.002, 0.01, 0.05]), 8
 #: Words of a key at most; keys of d words are made of the first FIRST_WORDS + 2 * (d - 2), which keeps the recall of pairs.
@@ -85,9 +86,27 @@ def line_key(words: list[bytes]) -> int:
 
 
 def word_digests(lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """The digests of all words, line after line, and the number of words of each line."""
+    """The digests of all words, line after line, and the number of words of each line.
+
+    All words are hashed at once, eight bytes in a step; words of up to eight bytes have no digest in common.
+    """
     sizes = np.array([len(w) for w in lines], np.int64)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(lines)), np.uint64, int(sizes.sum())), sizes
+    data = b" ".join(chain.from_iterable(lines))
+    if not data:
+        return np.empty(0, np.uint64), sizes
+    gaps = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    start = np.append(0, gaps + 1)
+    left = np.append(gaps, len(data)) - start
+    eights = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))  # from each byte on
+    out = _mixed((eights[start] & _BYTES[np.minimum(left, 8)]) * _MIX[0])
+    more = np.flatnonzero(left > 8)
+    length = left.astype(np.uint64)
+    while len(more):
+        start[more] += 8
+        left[more] -= 8
+        out[more] = _mixed((out[more] ^ (eights[start[more]] & _BYTES[np.minimum(left[more], 8)])) * _MIX[0])
+        more = more[left[more] > 8]
+    return _mixed(_mixed((out + length) * _MIX[0]) * _MIX[0]), sizes
 
 
 def line_features(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -103,10 +122,10 @@ def line_features(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return flat
 
 
-#: For each byte its bits in eight lanes of a byte.
-_LANES = np.array([sum((v >> b & 1) << 8 * b for b in range(8)) for v in range(256)], np.uint64)
-#: Words that a lane can count.
-_LANE_WORDS = 255
+#: Masks of the first bytes of eight.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words that eight binary digits can count.
+_MOST_COUNTED = 255
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -115,20 +134,41 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def simhashes(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Four words of 64 bits per line: the majority of each bit over its features."""
-    pieces = -(-sizes // _LANE_WORDS)
+    """Four words of 64 bits per line: the majority of each bit over its features.
+
+    The counters of bits are kept as one array for each of their binary digits; the n-th features of all lines are added at once.
+    """
+    pieces = -(-sizes // _MOST_COUNTED)
     owner = np.repeat(np.arange(len(sizes)), pieces)
     piece = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    starts = (np.cumsum(sizes) - sizes)[owner] + piece * _LANE_WORDS
-    planes = [flat]
-    for _ in range(3):
-        planes.append(_mixed(planes[-1] * _MIX[0]))
-    bits = np.stack(planes, axis=1).view(np.uint8)
-    ones = np.empty((len(sizes), 256), np.int64)
-    for byte in range(32):
-        sums = np.add.reduceat(_LANES[bits[:, byte]], starts).view(np.uint8).reshape(-1, 8)
-        ones[:, 8 * byte : 8 * byte + 8] = np.add.reduceat(sums.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
-    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64)
+    starts, left = (np.cumsum(sizes) - sizes)[owner] + piece * _MOST_COUNTED, np.minimum(sizes[owner] - piece * _MOST_COUNTED, _MOST_COUNTED)
+    order = np.argsort(-left, kind="stable")
+    starts, owner, digits = starts[order], owner[order], np.zeros((8, 4, len(order)), np.uint64)
+    room = np.empty((2, 4 * len(order)), np.uint64)
+    for nth, some in enumerate(np.searchsorted(-left[order], -np.arange(int(left.max(initial=0))))):
+        carry, both = (x[: 4 * some].reshape(4, some) for x in room)
+        carry[0] = flat[starts[:some] + nth]
+        for i in range(3):
+            carry[i + 1] = _mixed(carry[i] * _MIX[0])
+        for digit in digits[: (nth + 1).bit_length(), :, :some]:
+            np.bitwise_and(digit, carry, out=both)
+            digit ^= carry
+            carry, both = both, carry
+    # a line of one piece compares its counters with half of its size, from the highest digit on
+    over, same = np.zeros((4, len(order)), np.uint64), np.full((4, len(order)), ~np.uint64(0))
+    for i in range(7, -1, -1):
+        half = np.where(sizes[owner] // 2 >> i & 1, ~np.uint64(0), np.uint64(0))
+        over |= same & digits[i] & ~half
+        same &= ~(digits[i] ^ half)
+    out = np.empty((len(sizes), 4), np.uint64)
+    out[owner] = over.T
+    cut = np.flatnonzero(pieces[owner] > 1)
+    cut = cut[np.argsort(owner[cut], kind="stable")]
+    if len(cut):
+        ones = sum(np.unpackbits(np.ascontiguousarray(x[:, cut].T).view(np.uint8), axis=1, bitorder="little").astype(np.int64) << i for i, x in enumerate(digits))
+        line, first = np.unique(owner[cut], return_index=True)
+        out[line] = np.packbits(2 * np.add.reduceat(ones, first, axis=0) > sizes[line, None], axis=1, bitorder="little").view(np.uint64)
+    return out.view(np.int64)
 
 
 def key_words(sizes: np.ndarray, depth: int) -> np.ndarray:
@@ -199,14 +239,19 @@ def word_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
             n += len(found)
             slots = line_features(*word_digests(found)) >> np.uint64(64 - SLOT_BITS)
             counts += np.bincount(slots.astype(np.int64), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n))], ["slot", "n"])
+        # planes of bytes: the higher ones are almost empty and travel as next to nothing
+        planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in counts.reshape(COUNT_SLICES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(COUNT_SLICES), pa.int32()), pa.array([n, *[0] * (COUNT_SLICES - 1)]), pa.array(planes, pa.binary())], ["slice", "n", "counts"])
 
-    sums = small_batches(rows).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n = (np.asarray(sums[c]) for c in ("slot", "n"))
-    levels = np.zeros(1 << SLOT_BITS, np.uint8)
-    levels[slot[slot >= 0]] = np.minimum(255, np.round(8 * np.log2(1 + n[slot >= 0])))
-    return levels, int(n[slot < 0].sum())
+    def total(group, t):
+        counts = sum(np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in t["counts"])
+        levels = np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)
+        return pa.table({"slice": pa.array([group[0].as_py()], pa.int32()), "n": pa.array([int(np.asarray(t["n"]).sum())]), "levels": pa.array([levels.tobytes()], pa.binary())})
+
+    sums = small_batches(rows).mapInArrow(run, "slice int, n long, counts binary").groupBy("slice").applyInArrow(total, "slice int, n long, levels binary").toArrow().sort_by("slice")
+    if not sums.num_rows:
+        return np.zeros(1 << SLOT_BITS, np.uint8), 0
+    return np.frombuffer(b"".join(sums["levels"].to_pylist()), np.uint8), sum(sums["n"].to_pylist())
 
 
 def hashed_lines(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -349,15 +394,49 @@ def shared_buckets(lines: DataFrame, ranges: int, depth: int = 2) -> DataFrame:
     return sent.groupBy("part").applyInArrow(meet, "key long, a long, b long, n int, sim long, last int")
 
 
-def coded_lines(rows: DataFrame) -> DataFrame:
-    """(doc, text, lines) to v, code: each named line with a character for every word."""
+def _place_spots(doc: np.ndarray, line: np.ndarray, width: int) -> list[np.ndarray]:
+    """Two of ``1 << width`` bits for each place (doc, line)."""
+    x = _mixed(_mixed(doc.astype(np.int64).view(np.uint64) * _MIX[0]) + line.astype(np.uint64) * _MIX[0])
+    return [(_mixed(x * m) >> np.uint64(64 - width)).astype(np.int64) for m in _MIX]
+
+
+def place_bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of the places (doc, line) of a stored table: those that have both their bits are wanted, of others about one in 70 or fewer."""
+    width = max(SLICE_BITS, int(places.count() * PLACE_BITS).bit_length())
+
+    def send(batches):
+        for batch in batches:
+            spots = np.unique(np.concatenate(_place_spots(np.asarray(batch["doc"]), np.asarray(batch["line"]), width)))
+            part, first = np.unique(spots >> SLICE_BITS, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.astype(np.uint16).tobytes() for x in np.split(spots, first[1:])] if len(part) else [], pa.binary())], ["part", "spots"])
+
+    def meet(group, t):
+        found = np.zeros(1 << SLICE_BITS, bool)
+        for x in t["spots"]:
+            found[np.frombuffer(x.as_buffer(), np.uint16)] = True
+        return pa.table({"part": pa.array([group[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(found, bitorder="little").tobytes()], pa.binary())})
+
+    bits = np.zeros((1 << width - SLICE_BITS, 1 << SLICE_BITS - 3), np.uint8)
+    for r in places.mapInArrow(send, "part int, spots binary").groupBy("part").applyInArrow(meet, "part int, bits binary").toArrow().to_pylist():
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.ravel()
+
+
+def coded_lines(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(doc, text) to v, code: each line at a place of ``place_bits``, and few others, with a character for every word.
+
+    The texts stay where they are: what travels is the bitmap, two bytes a place.
+    """
+    width = (len(bits) * 8).bit_length() - 1
 
     def run(batches):
-        for part, _, texts in _texts(batches):
-            found = []
-            for t, lines in zip(texts, part["lines"].to_pylist()):
-                split = t.split(b"\n")
-                found += [line_words(split[i]) for i in lines]
+        for _, docs, texts in _texts(batches):
+            split = [t.split(b"\n") for t in texts]
+            many = np.array([len(x) for x in split], np.int64)
+            line = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            hit = np.logical_and.reduce([bits[x >> 3] >> (x & 7) & 1 for x in _place_spots(np.repeat(np.array(docs, np.int64), many), line, width)])
+            every = list(chain.from_iterable(split))
+            found = [w for w in (line_words(every[i]) for i in np.flatnonzero(hit)) if len(w) >= MIN_WORDS]
             flat, sizes = word_digests(found)
             letters = (flat % np.uint64(0x100000) + np.uint64(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
             stops = np.cumsum(sizes).tolist()
@@ -398,12 +477,22 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
     def close(x: str, y: str) -> Column:
         return alike(x, y, SIMS[:1], BITS_APART)
 
-    def refine(few: DataFrame) -> DataFrame:
-        return few.join(looks, "v").select("v", F.col("look").alias("e"))
-
     def closer(x: str, y: str) -> Column:
         return alike(x, y, SIMS, WIDE_APART)
 
+    def equal(x: Column, y: Column) -> Column:
+        # a bound on the distance narrows the table of the edit distance; most pairs are far closer than allowed
+        most = F.floor(F.greatest(F.length(x), F.length(y)) * (PER[1] - PER[0]) / PER[1]).cast("int")
+        within = lambda bound: F.call_function("levenshtein", x, y, bound) >= 0
+        return within(F.least(F.lit(8), most)) | within(most)
+
+    def refine(few: DataFrame) -> DataFrame:
+        return few.join(looks, "v").join(codes, "v").select("v", F.struct("look.*", "code").alias("e"))
+
+    def linked_in_place(x: str, y: str) -> Column:
+        """The whole test inside the last join: lines near each other but not similar enough give no rows for their pairs."""
+        return closer(x, y) & equal(F.col(f"{x}.code"), F.col(f"{y}.code"))
+
     def side(table: DataFrame, c: str, n: str) -> DataFrame:
         return table.select(F.col("v").alias(n), F.col(c).alias(f"{c}{n}"))
 
@@ -413,21 +502,18 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
     near = likely(near)
     used = near.select(F.explode(F.array("a", "b")).alias("key")).union(members.select(F.col("v").alias("key"))).distinct()
     used = wanted.join(small(stored(used, "line-used"), ID_ROWS), "key", "left_semi")
-    places = stored(used.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list("at.line").alias("lines")), "line-places")
-    codes = stored(coded_lines(rows.join(small(places), "doc")), "line-codes")
+    places = stored(used.select("at.doc", "at.line"), "line-places")
+    # a line may be found at some place more
+    codes = stored(coded_lines(rows, place_bits(places)).groupBy("v").agg(F.first("code").alias("code")), "line-codes")
 
     def equal_enough(some: DataFrame) -> DataFrame:
         """Of stored likely pairs those of which the edit distance says so; only their lines' codes are shuffled."""
         need = stored(some.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "line-needed")
         few = codes.join(small(need, ID_ROWS), "v", "left_semi")
         both = some.join(side(few, "code", "a"), "a").join(side(few, "code", "b"), "b")
-        # a bound on the distance narrows the table of the edit distance; most pairs are far closer than allowed
-        most = F.floor(F.greatest(F.length("codea"), F.length("codeb")) * (PER[1] - PER[0]) / PER[1]).cast("int")
-        within = lambda bound: F.call_function("levenshtein", F.col("codea"), F.col("codeb"), bound) >= 0
-        # rows that repeat an id give a line's code more than once
-        return both.withColumn("_most", most).where(within(F.least(F.lit(8), F.col("_most"))) | within(F.col("_most"))).select("a", "b").distinct()
+        return both.where(equal(F.col("codea"), F.col("codeb"))).select("a", "b")
 
-    linked = link_buckets(members, close, lambda pairs: equal_enough(likely(pairs)), refine, closer).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    linked = link_buckets(members, close, lambda pairs: equal_enough(likely(pairs)), refine, linked_in_place).select(F.col("id").alias("a"), F.col("root").alias("b"))
     return components(equal_enough(near).union(linked))
 
 

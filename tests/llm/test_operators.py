@@ -545,6 +545,60 @@ def test_unrelated_lines_of_a_bucket_give_few_rows(spark):
     assert found.where("b is not null").count() < 10 * n  # 84,901 by 64 bits, 21,744 by 128
 
 
+def test_lines_near_but_not_similar_give_few_rows(spark, monkeypatch):
+    """The last join of a large bucket gave a row for every pair within the bounds on bits."""
+    rng, n, made = random.Random(11), 1000, []
+    for i in range(n):
+        line = [f"w{k}" for k in range(40)]
+        for k in rng.sample(range(40), 9):
+            line[k] = f"y{rng.randrange(30)}"
+        made.append((i, " ".join(line)))
+    rows = stored(spark.createDataFrame(made, "doc long, text string"), "near")
+    seen = []
+
+    def counted(df, label):
+        out = stored(df, label)
+        seen.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(groups, "stored", counted)
+    got = {r.id: r.root for r in lines.line_groups(rows, stored(lines.hashed_lines(rows), "near-lines")).collect()}
+    assert len(seen) == 3 and seen[-1] < 10 * n
+    assert all(got[r] == r for r in got.values())
+
+
+def test_texts_are_searched_where_they_are(spark):
+    made = [(i, "\n".join(f"a b c d e{i} f{k}" for k in range(i % 7))) for i in range(400)]
+    rows = stored(spark.createDataFrame([*made, (400, None), (401, "")], "doc long, text string"), "searched")
+    wanted = [(i, k) for i in range(0, 400, 5) for k in range(i % 7) if k % 2]
+    bits = lines.place_bits(stored(spark.createDataFrame(wanted, "doc long, line int"), "wanted-places"))
+    coded = lines.coded_lines(rows, bits)
+    assert "Exchange" not in coded._jdf.queryExecution().executedPlan().toString()
+    got, keys = coded.toPandas().v.tolist(), [lines.line_key(f"a b c d e{i} f{k}".encode().split()) for i, k in wanted]
+    assert set(keys) <= set(got) and len(got) < 1.2 * len(keys)
+    assert coded.where(F.length("code") != 6).count() == 0
+    assert not lines.place_bits(stored(spark.createDataFrame([], "doc long, line int"), "no-places")).any()
+
+
+def test_digests_and_simhashes_of_all_lines_at_once():
+    rng = random.Random(13)
+    made = [[bytes(rng.randrange(97, 101) for _ in range(rng.randrange(1, 28))) for _ in range(n)] for n in (1, 5, 40, 255, 256, 700)]
+    made += [[], [b"a", b"a\0", b"\0", b"a" * 8, b"a" * 8 + b"\0", b"a" * 9, b"a" * 16, b"a" * 17]]
+    flat, sizes = lines.word_digests(made)
+    words = [w for x in made for w in x]
+    assert sizes.tolist() == [len(x) for x in made] and len(flat) == len(words)
+    assert len(set(zip(words, flat.tolist()))) == len(set(words)) == len(set(flat.tolist()))
+    assert [lines.word_digests([[w]])[0][0] for w in words[:50]] == flat[:50].tolist()
+    full = np.flatnonzero(sizes > 0)
+    got = np.unpackbits(lines.simhashes(flat, sizes[full]).view(np.uint8), axis=1, bitorder="little")
+    for sim, own in zip(got, np.split(flat, np.cumsum(sizes[full])[:-1])):
+        planes = [own]
+        for _ in range(3):
+            planes.append(lines._mixed(planes[-1] * lines._MIX[0]))
+        bits = np.unpackbits(np.stack(planes, axis=1).view(np.uint8), axis=1, bitorder="little").reshape(len(own), 256)
+        assert (sim == (2 * bits.sum(axis=0) > len(own))).all()
+
+
 def test_short_lines_go_if_equal(spark):
     data = [(1, "les.\n\nA b\nles."), (2, "a  B\nother\n"), (3, "les. x\n\nLES."), (4, "one two three four"), (5, "one two three four\none two three five")]
     df = spark.createDataFrame(data, "doc_id long, text string")
