@@ -70,7 +70,7 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(labels.join(small(stored(total, "roots"), ID_ROWS), "root").select("id", F.col("least").alias("root")), "components")
 
 
-def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, closer: Callable[[str, str], Column] | None = None, stars: int = 2) -> DataFrame:
+def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame] | None = None, closer: Callable[[str, str], Column] | None = None, sure: Callable[[str, str], Column] | None = None, stars: int = 2) -> DataFrame:
     """id, root over all pairs that share a bucket and are confirmed; ids without a link are absent.
 
     ``members`` (a stored table): key, v and a struct ``d``, whose long ``lead`` is least for members likely
@@ -82,7 +82,7 @@ def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confir
     left are buckets that still hold several components: there every pair of
     members of different components is tested, filtered inside the join. For
     these few members ``refine`` may give a finer sketch (v, e) that ``closer``
-    compares.
+    compares, and ``sure`` once more, once for each pair.
     """
     spark = members.sparkSession
     tested = edges = spark.createDataFrame([], "a long, b long")
@@ -108,7 +108,7 @@ def link_buckets(members: DataFrame, close: Callable[[str, str], Column], confir
             near = close("dx", "dy") & closer("ex", "ey") if closer else close("dx", "dy")
             # a pair comes out of the first bucket that both are in
             once = F.array_min(F.array_intersect("hx", "hy")) == left.key
-            pairs = left.join(right, (left.key == right.key) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near & once)
+            pairs = left.join(right, (left.key == right.key) & (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & near & (once & sure("ex", "ey") if sure else once))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(small(tested, ID_ROWS), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         edges = stored(edges.union(confirm(pairs).select("a", "b")), "links")

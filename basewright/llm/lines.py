@@ -71,6 +71,8 @@ HUBS, ALIKE, ALIKE_BITS = 8, 0.5, 16
 CROWDED = 8
 SIMS = ["sim", "sim2", "sim3", "sim4"]
 _LOOK = ["key", "n", "sim", "sim2"]
+#: Texts whose words are cut and hashed at once: they should fit the processor's cache.
+FEW_TEXTS = 100
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: Bucket entries that one range holds on average, and bytes of removals that may be broadcast.
 RANGE_ENTRIES = 1_000_000
@@ -234,7 +236,7 @@ def word_counts(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches):
         counts, n = np.zeros(1 << SLOT_BITS, np.int64), 0
-        for _, _, texts in _texts(batches):
+        for _, _, texts in _texts(batches, FEW_TEXTS):
             found = [w for t in texts for w in map(line_words, t.split(b"\n")) if len(w) >= MIN_WORDS]
             n += len(found)
             slots = line_features(*word_digests(found)) >> np.uint64(64 - SLOT_BITS)
@@ -263,17 +265,20 @@ def hashed_lines(rows: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
     def run(batches):
         for _, docs, texts in _texts(batches):
-            doc, line, key, found = [], [], [], []
-            for d, t in zip(docs, texts):
-                for i, x in enumerate(t.split(b"\n")):
-                    w = line_words(x)
-                    if len(w) >= least:
-                        doc.append(d)
-                        line.append(i)
-                        key.append(line_key(w))
-                        found.append(w)
+            doc, line, key, made = [], [], [], []
+            for at in range(0, len(texts), FEW_TEXTS):
+                found = []
+                for d, t in zip(docs[at : at + FEW_TEXTS], texts[at : at + FEW_TEXTS]):
+                    for i, x in enumerate(t.split(b"\n")):
+                        w = line_words(x)
+                        if len(w) >= least:
+                            doc.append(d)
+                            line.append(i)
+                            key.append(line_key(w))
+                            found.append(w)
+                made.append(word_digests(found))
             if doc:
-                flat, sizes = word_digests(found)
+                flat, sizes = (np.concatenate(x) for x in zip(*made))
                 flat = line_features(flat, sizes)
                 sims = simhashes(flat, sizes)
                 first, many, rare = first_words(flat, sizes, levels, counted)
@@ -489,9 +494,9 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
     def refine(few: DataFrame) -> DataFrame:
         return few.join(looks, "v").join(codes, "v").select("v", F.struct("look.*", "code").alias("e"))
 
-    def linked_in_place(x: str, y: str) -> Column:
+    def sure(x: str, y: str) -> Column:
         """The whole test inside the last join: lines near each other but not similar enough give no rows for their pairs."""
-        return closer(x, y) & equal(F.col(f"{x}.code"), F.col(f"{y}.code"))
+        return equal(F.col(f"{x}.code"), F.col(f"{y}.code"))
 
     def side(table: DataFrame, c: str, n: str) -> DataFrame:
         return table.select(F.col("v").alias(n), F.col(c).alias(f"{c}{n}"))
@@ -513,7 +518,7 @@ def line_groups(rows: DataFrame, lines: DataFrame) -> DataFrame:
         both = some.join(side(few, "code", "a"), "a").join(side(few, "code", "b"), "b")
         return both.where(equal(F.col("codea"), F.col("codeb"))).select("a", "b")
 
-    linked = link_buckets(members, close, lambda pairs: equal_enough(likely(pairs)), refine, linked_in_place).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    linked = link_buckets(members, close, lambda pairs: equal_enough(likely(pairs)), refine, closer, sure).select(F.col("id").alias("a"), F.col("root").alias("b"))
     return components(equal_enough(near).union(linked))
 
 
